@@ -5,19 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_lm, warc
-from .common import table
+from . import decontaminate, jaccard, langid, ngram_lm, quality, vptree, warc
+from .common import remainder, table
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"), ngram_lm.held_out_rows())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    part = remainder("doc_id", 5)
+    found = langid.identify(documents, langid.learn(documents, part > 0))
+    return found.select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    part = remainder("doc_id", 5)
+    scored = quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels"), part > 0))
+    return scored.select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_vptree": vptree.ORACLE, "op8_jaccard": jaccard.oracle(4, 85), "op10_decontamination": decontaminate.ORACLE}
