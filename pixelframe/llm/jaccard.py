@@ -23,7 +23,7 @@ from .common import mix, shared_dir, small_batches, utf8, word_hashes, written
 from .components import components
 
 #: Entries that a mapper gathers (with fewer than 2**16 documents), and entries that a block is planned for.
-GATHER, BLOCK = 3_000_000, 6_000_000
+GATHER, BLOCK = 2_000_000, 3_000_000
 #: Counts of a column above this sort alike.
 MOST = (1 << 15) - 1
 #: Rounds of hubs before all pairs across components; another is worth while as long as these exceed so many an entry.
