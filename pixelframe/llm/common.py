@@ -81,25 +81,32 @@ _KEYS = position_keys(1 << 12)
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) words between ASCII white space, as 64-bit multilinear hashes in text order, and the offsets of
-    each document's words. Words don't cross documents. Whole texts; long ones go through in segments cut at spaces."""
+    each document's words. Words don't cross documents."""
+    hashes, begin, _ = word_spans(data, offsets)
+    return hashes, np.searchsorted(begin, offsets)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and bytes of each word between bytes of `space`. Whole texts; long ones go through in segments that
+    are cut between words."""
     global _KEYS
-    hashes, begins = [], []
+    hashes, begins, sizes = [], [], []
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     at = 0
     while at < len(data):
         end = min(len(data), at + SEGMENT)
         if end < len(data):
-            stop = SPACE[data[at:end]] | edge[at:end]
+            stop = space[data[at:end]] | edge[at:end]
             stop[0] = False
             last = np.flatnonzero(stop)
             if len(last):
                 end = at + int(last[-1])
             else:  # a word longer than a segment
-                more = np.flatnonzero(SPACE[data[end:]] | edge[end:-1])
+                more = np.flatnonzero(space[data[end:]] | edge[end:-1])
                 end = end + int(more[0]) if len(more) else len(data)
         part = data[at:end]
-        word = ~SPACE[part]
+        word = ~space[part]
         first = word.copy()
         first[1:] &= ~word[:-1] | edge[at + 1 : end]
         where = np.flatnonzero(word)
@@ -113,8 +120,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             value = _KEYS[place] * (LOWER[part[where]].astype(np.uint64) + np.uint64(1))
             hashes.append(mix(np.add.reduceat(value, heads)))
             begins.append(starts + at)
+            sizes.append(lengths)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    begin = np.concatenate(begins)
-    return np.concatenate(hashes), np.searchsorted(begin, offsets)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(begins), np.concatenate(sizes)

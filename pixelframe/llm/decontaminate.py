@@ -77,11 +77,11 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, numbered: bool = False) -> DataFrame:
     """Per row of `documents` (doc_id, text): n_words, n_hit (words inside an occurrence of `window` consecutive words of
     an item, or of the whole of a shorter one), n_items, items_sha256, contaminated. Null and empty texts have no words
     and no hits; items without words take no part; equal items under one id count once. Rows with equal ids stay apart,
-    and further columns are not read. An empty benchmark hits nothing."""
+    and further columns are not read. An empty benchmark hits nothing. numbered: with uid, the row's number in the order read."""
     if not 1 <= window:
         raise ValueError("window must be at least 1")
     index = anchors(documents, benchmark, window).cache()
@@ -101,7 +101,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     by_row = met.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set(run).alias("runs"), F.collect_set(F.when(F.col("hit"), F.col("item_id").cast("string"))).alias("items"))
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(F.array_sort("runs"), start, lambda acc, x: F.struct(F.greatest(acc["last"], x["b"]).alias("last"), (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"] - 1, acc["last"]))).cast("long").alias("n")))
-    return by_row.select("doc_id", "n_words", covered["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+    return by_row.select(*["uid"] * numbered, "doc_id", "n_words", covered["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
 
 
 ORACLE = r"""

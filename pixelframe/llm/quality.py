@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, small_batches, utf8, word_hashes
 from .jaccard import shingles
@@ -18,6 +19,8 @@ from .samples import labelled
 STATISTICS = ["log_words", "word_bytes", "letters", "upper", "digits", "stops", "marks", "exclaims", "bars", "high", "lines", "distinct", "repeats", "distinct_triples", "common"]
 #: Labelled rows the rules are learnt from, at most about.
 SAMPLE = 20_000
+#: Scores from here on are of label 1.
+ACCEPTED = 0.3
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 capital, 3 digit, 4 sentence stop, 5 other mark, 6 !, 7 |, 8 not ASCII, 9 line end
 for _i in range(33, 127):
@@ -163,33 +166,39 @@ class Quality:
         return 1 / (1 + F.exp(-margin))
 
 
-def _measured(keep: list[str], kinds: list[pa.DataType]):
+def _measured(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(*utf8(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column(c).cast(k) for c, k in zip(keep, kinds, strict=True)] + [pa.array(np.ascontiguousarray(x[:, c])) for c in range(len(STATISTICS))], names=keep + STATISTICS)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.ascontiguousarray(x[:, c])) for c in range(len(STATISTICS))], names=keep + STATISTICS)
 
     return run
 
 
-def with_statistics(rows: DataFrame, keep: dict[str, str]) -> DataFrame:
-    """The columns in `keep` (name: type) and the STATISTICS of the column `text`."""
+def with_statistics(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns in `keep` and the STATISTICS of the column `text`."""
     small_batches(rows.sparkSession)
-    kinds = [{"long": pa.int64(), "int": pa.int32()}[k] for k in keep.values()]
-    return rows.mapInArrow(_measured(list(keep), kinds), ", ".join(f"{c} {k}" for c, k in (*keep.items(), *((s, "double") for s in STATISTICS))))
+    schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
+    return rows.mapInArrow(_measured(list(keep)), schema)
 
 
 def learn(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Quality:
     """The model from about `sample` labelled documents for which `train` holds. Null labels are left out; without labels of
     both kinds the score is a constant."""
     rows = labelled(documents, labels, "quality", train, sample)
-    got = with_statistics(rows, {"order": "long", "doc_id": "long", "label": "int"}).orderBy("order", "doc_id").limit(2 * sample).toPandas()
+    got = with_statistics(rows, "order", "doc_id", "label").orderBy("order", "doc_id").limit(2 * sample).toPandas()
     return Quality.fit(got[STATISTICS].to_numpy(float), (got["label"] > 0).to_numpy(float))
 
 
 def score(documents: DataFrame, model: Quality) -> DataFrame:
-    """uid, doc_id, score, predicted for each row of `documents` (doc_id, text; nothing else is read), from its whole text; null and
-    blank texts have statistics of zero. uid numbers the rows in the order read."""
-    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = with_statistics(rows, {"uid": "long", "doc_id": "long"}).withColumn("score", model.column())
-    return scored.select("uid", "doc_id", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    """doc_id, score, predicted for each row of `documents` (doc_id, text; nothing else is read), from its whole text; null and
+    blank texts have statistics of zero."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = with_statistics(rows, "doc_id").withColumn("score", model.column())
+    return scored.select("doc_id", "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, model: Quality) -> DataFrame:
+    """The rows of `documents` that score ACCEPTED or more, with all their columns, whatever they are called."""
+    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return with_statistics(rows, "row").where(model.column() >= ACCEPTED).select("row.*")
