@@ -22,7 +22,7 @@ from .samples import labelled
 #: Words of a window, of which the next one shares half; sizes of the vectors, the state and the attention.
 WINDOW, VECTOR, STATE, ATTENTION = 16, 8, 8, 8
 #: Buckets of character runs, known words at most, and labelled documents to learn from, about.
-RUNS, KNOWN, SAMPLE = 1 << 14, 1 << 15, 8000
+RUNS, KNOWN, SAMPLE = 1 << 14, 1 << 15, 5000
 #: Which of a text's windows, from the highest, make its score, and the least logit that counts.
 RANKS, LEAST = (0, 2, 4, 6), -6.0
 #: Share of known words that a training step takes for unknown, so that characters count as well.
@@ -61,7 +61,7 @@ class Texts:
         three = (padded[at] * 257 + padded[at + 1]) * 257 + padded[at + 2]
         five = np.where(inner + 2 < np.repeat(n, n), (three * 257 + padded[at + 3]) * 257 + padded[at + 4] + (1 << 40), three)
         runs = mix(np.stack([three, five], 1).ravel().astype(np.uint64)) % np.uint64(RUNS)
-        return cls(code, np.searchsorted(begin, offsets), word, runs.astype(np.int64), 2 * (np.cumsum(n) - n))
+        return cls(code.astype(np.int32), np.searchsorted(begin, offsets), word, runs.astype(np.int32), 2 * (np.cumsum(n) - n))
 
     def windows(self, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(document, first word) of each window; a text of no words has one, too."""
@@ -71,12 +71,18 @@ class Texts:
         first = self.at[:-1][document] + (np.arange(len(document)) - np.repeat(np.cumsum(many) - many, many)) * (WINDOW // 2)
         return document, first
 
+    def runs_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the runs of some distinct words, end to end, and how many each has."""
+        n = np.diff(np.append(self.run_at, len(self.run)))[words]
+        at = np.repeat(self.run_at[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return self.run[at], n
+
     def inputs(self, document: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers (len(word) where a window goes on beyond its text) and which of them are words."""
         place = first[:, None] + np.arange(WINDOW)
         real = place < self.at[1:][document][:, None]
         code = self.code[np.minimum(place, max(len(self.code) - 1, 0))] if len(self.code) else np.zeros(place.shape, np.int64)
-        return np.where(real, code, len(self.word)), real
+        return np.where(real, code, np.int32(len(self.word))), real
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -223,22 +229,18 @@ def fit(texts: Texts, label: np.ndarray, epochs: int = 12, seed: int = 3) -> Tox
     if len(np.unique(label[apart])) < 2 or len(np.unique(label[~apart])) < 2:
         apart[:] = False
     own = label[~apart]
-    of_word = np.repeat(np.arange(len(label)), np.diff(texts.at))
-    pair = np.unique(of_word * np.int64(len(texts.word)) + texts.code)
-    in_doc, word = pair // len(texts.word), pair % len(texts.word)
-    in_doc, word = in_doc[~apart[in_doc]], word[~apart[in_doc]]
-    by = [np.bincount(word[label[in_doc] == k], minlength=len(texts.word)) for k in (0, 1)]
-    odds = np.log((by[1] + 0.5) / (own.sum() + 1)) - np.log((by[0] + 0.5) / (len(own) - own.sum() + 1))
-    often = by[0] + by[1]
-    # the same of character runs: a word is as strong as its strongest one
-    of_run = np.repeat(np.arange(len(texts.word)), np.diff(np.append(texts.run_at, len(texts.run))))
-    sizes = np.diff(np.append(texts.run_at, len(texts.run)))[word]
-    places = np.repeat(texts.run_at[word], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    pair = np.unique(np.repeat(in_doc, sizes) * RUNS + texts.run[places])
-    runs = [np.bincount(pair[label[pair // RUNS] == k] % RUNS, minlength=RUNS) for k in (0, 1)]
-    run_odds = np.log((runs[1] + 0.5) / (own.sum() + 1)) - np.log((runs[0] + 0.5) / (len(own) - own.sum() + 1))
+    # in how many texts of either label words and character runs stand
+    by, runs = np.zeros((2, len(texts.word))), np.zeros((2, RUNS))
+    for i in np.flatnonzero(~apart):
+        word = np.unique(texts.code[texts.at[i] : texts.at[i + 1]])
+        by[label[i], word] += 1
+        runs[label[i], np.unique(texts.runs_of(word)[0])] += 1
+    tell = lambda n: np.log((n[1] + 0.5) / (own.sum() + 1)) - np.log((n[0] + 0.5) / (len(own) - own.sum() + 1))
+    odds, often = tell(by), by.sum(0)
+    # a word is as strong as its strongest run
     strong = np.where(often >= 3, odds, -9.0)
-    np.maximum.at(strong, of_run, np.where(runs[0] + runs[1] >= 5, run_odds, -9.0)[texts.run])
+    if len(texts.word):
+        strong = np.maximum(strong, np.maximum.reduceat(np.where(runs.sum(0) >= 5, tell(runs), -9.0)[texts.run], texts.run_at))
     candidates = np.lexsort((texts.word, -often))[:KNOWN]
     candidates = np.sort(candidates[often[candidates] >= 3])  # texts.word is sorted, so the hashes are, too
     model = Toxicity(texts.word[candidates], Network(len(candidates)), np.zeros(len(RANKS) + 1))
@@ -247,10 +249,8 @@ def fit(texts: Texts, label: np.ndarray, epochs: int = 12, seed: int = 3) -> Tox
 
     document, first = texts.windows()
     starts = np.searchsorted(document, np.arange(len(label) + 1))
-    top = np.full(len(label), -np.inf)
-    np.maximum.at(top, of_word, strong[texts.code])
-    code, real = texts.inputs(document, first)
-    peak = np.where(real, np.append(strong, -9.0)[code], -9.0).max(1)
+    top = np.array([strong[texts.code[a:b]].max(initial=-np.inf) for a, b in zip(texts.at, texts.at[1:], strict=False)])
+    peak = np.concatenate([np.append(strong, -9.0)[texts.inputs(document[a : a + CHUNK], first[a : a + CHUNK])[0]].max(1) for a in range(0, len(document), CHUNK)])
     positive = np.flatnonzero((label[document] == 1) & ~apart[document] & (peak >= top[document] - 1e-9) & (peak > 0))
     clean = np.flatnonzero((label[document] == 0) & ~apart[document])
     negative = rng.permutation(clean)[: 8 * max(len(positive), 500)]
@@ -264,8 +264,9 @@ def fit(texts: Texts, label: np.ndarray, epochs: int = 12, seed: int = 3) -> Tox
         # one word over and over: what a single vector may add up to
         alone = texts.code[rng.choice(len(texts.code), len(negative) // 4)] if len(texts.code) else np.zeros(0, np.int64)
         alone = alone[strong[alone] < 0.5]
-        filled = np.concatenate([code[rows], np.repeat(alone[:, None], WINDOW, 1)])
-        shown = np.concatenate([real[rows], np.ones((len(alone), WINDOW), bool)])
+        code, real = texts.inputs(document[rows], first[rows])
+        filled = np.concatenate([code, np.repeat(alone[:, None], WINDOW, 1)])
+        shown = np.concatenate([real, np.ones((len(alone), WINDOW), bool)])
         y = np.append(np.ones(len(positive)), np.zeros(len(negative) + len(alone))).astype(np.float32)
         share = np.where(y == 1, 0.5 * len(y) / max(len(positive), 1), 0.5 * len(y) / max(len(y) - len(positive), 1)).astype(np.float32)
         for _ in range(epochs):
@@ -276,9 +277,7 @@ def fit(texts: Texts, label: np.ndarray, epochs: int = 12, seed: int = 3) -> Tox
                 used, local = np.unique(words, return_inverse=True)
                 local = local.reshape(words.shape)
                 inner = used < len(texts.word)
-                lengths = np.diff(np.append(texts.run_at, len(texts.run)))[used[inner]]
-                at = np.repeat(texts.run_at[used[inner]], lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                buckets = texts.run[at]
+                buckets, lengths = texts.runs_of(used[inner])
                 vectors = np.zeros((len(used), 2 * VECTOR), np.float32)
                 row = np.where(rng.random(int(inner.sum())) < FORGET, 0, numbers[used[inner]])
                 vectors[inner, :VECTOR] = net.p["words"][row]
