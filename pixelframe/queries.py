@@ -12,10 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog
 from .functions import headers as H
 from .functions import numerics as N
 from .operators.pixels import Pixels, bilinear_plan, nearest_plan
 from .plans import geometry as G
+from .plans import spec as S
+from .sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,9 +510,124 @@ def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sized(spark, sf_dir).select("p_partkey", H.too_large(F.col("w"), F.col("h"), 500_000).alias("message"))
 
 
-@query("png_chunk_checksum", None)
-def png_chunk_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("checksum"))
+# The packed layout: the same pictures as files, one row an image, against the SQL of the pixel layout.
+
+
+def _files(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], Pixels], format: str = "png", **options) -> DataFrame:
+    return images.encode(images.from_pixels(source(spark, sf_dir).df), format, **options)
+
+
+def packed(name: str, source: Callable[[SparkSession, str], Pixels], spec: dict, sql: str | None, format: str = "png") -> None:
+    """Pixels to rasters to files, a recipe over the files, and back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        done = images.run(_files(spark, sf_dir, source, format).drop("error"), spec).drop("error")
+        return images.to_pixels(images.decode(done))
+
+    query(name, sql and f"SELECT image_id, y::INT AS y, x::INT AS x, r::INT AS r, g::INT AS g, b::INT AS b, a::INT AS a FROM ({sql})")(run)
+
+
+packed("codec_png", rgba, {}, RGBA)
+packed("codec_tiff", rgba, {}, RGBA, "tiff")
+packed("codec_bmp", rgba, {}, "SELECT image_id, y, x, " + ", ".join(f"floor({sql_over(c, 255)})::INT AS {c}" for c in "rgb") + f", 255 AS a FROM ({RGBA})", "bmp")
+packed("codec_gif", rgba, {}, "SELECT image_id, y, x, " + ", ".join(f"CASE WHEN a >= 128 THEN {c} ELSE 0 END AS {c}" for c in "rgb") + f", CASE WHEN a >= 128 THEN 255 ELSE 0 END AS a FROM ({RGBA})", "gif")
+packed("codec_chain", rgba, {"format": {"format": "tiff", "options": {"compression": "none"}}}, RGBA)
+packed("packed_pipeline", grey, {"resize": {"maxLongEdge": 3}, "flip": {"horizontal": True}, "rotate": {"angle": 90}, "crop": {"x": 1, "y": 1, "width": 6, "height": 6}}, SQL["pipeline_canonical"])
+packed("packed_resize_nearest", grey, {"resize": {"width": 13, "height": 13, "resampling": "nearest"}}, SQL["resize_nearest_up"])
+packed("packed_resize_lanczos3", rgba, {"resize": {"width": 7, "height": 3, "resampling": "lanczos3"}}, SQL["resize_lanczos3_alpha"])
+packed("packed_resize_bilinear", rgba, {"resize": {"width": 7, "height": 3}}, SQL["resize_bilinear_alpha"])
+packed("packed_contain", grey, {"background": [9, 8, 7, 255], "resize": {"width": 12, "height": 6, "fit": "contain"}}, SQL["fit_contain"])
+packed("packed_cover", grey, {"resize": {"width": 12, "height": 6, "fit": "cover"}}, SQL["fit_cover"])
+packed("packed_rotate_nearest", rgba, {"background": [1, 2, 3, 4], "rotate": {"angle": -77.5, "resampling": "nearest"}}, SQL["rotate_nearest_background"])
+packed("packed_rotate_bilinear", grey, {"rotate": {"angle": 15}}, SQL["rotate_bilinear"])
+packed("packed_rotate_bilinear_alpha", rgba, {"rotate": {"angle": 200, "background": [250, 0, 120, 255]}}, SQL["rotate_bilinear_alpha"])
+packed("packed_rotate_lanczos3", rgba, {"rotate": {"angle": 33, "resampling": "lanczos3"}}, None)
+
+
+@query("codec_jpeg_error")
+def codec_jpeg_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each picture moves through a JPEG file."""
+    p = grey(spark, sf_dir)
+    back = images.to_pixels(images.decode(_files(spark, sf_dir, grey, "jpeg", quality=90).drop("error"))).withColumnRenamed("r", "s")
+    return p.df.join(back.select("image_id", "y", "x", "s"), ["image_id", "y", "x"]).groupBy("image_id").agg(F.avg(F.abs(F.col("r") - F.col("s"))).alias("mean_error"))
+
+
+@query("error_rows", f"SELECT p_partkey, CASE WHEN {_SQL_SNIFF} IS NULL THEN 'UNSUPPORTED_FORMAT' ELSE 'CORRUPT_IMAGE' END AS code FROM (SELECT p_partkey, {_SQL_KIND} AS h FROM part)")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are only a beginning: each row its own error, and no failed job."""
+    return images.decode(_content(spark, sf_dir)).select("p_partkey", F.col("error.code").alias("code"))
+
+
+def _probe_walked(name: str, header) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _sized(spark, sf_dir).select("p_partkey", F.unhex(header(F.col("w"), F.col("h"))).alias("content"))
+        return images.probe(rows).select("p_partkey", "format", "width", "height", F.col("error.code").alias("code"))
+
+    query(f"probe_{name}", f"SELECT p_partkey, CASE WHEN w >= 1 THEN '{name}' END AS format, CASE WHEN w >= 1 THEN w END::INT AS width, CASE WHEN w >= 1 THEN h END::INT AS height, CASE WHEN w < 1 THEN 'CORRUPT_IMAGE' END AS code FROM ({_SIZED})")(run)
+
+
+_BIG2 = lambda v: F.lpad(F.hex(v), 4, "0")
+_probe_walked("jpeg", lambda w, h: F.concat(F.lit("FFD8FFE000044A46FFFFC0000B08"), _BIG2(h), _BIG2(w), F.lit("01011100")))
+_probe_walked("tiff", lambda w, h: F.concat(F.lit("4D4D002A00000008000201000004000000 01".replace(" ", "")), _BIG(w), F.lit("0101000400000001"), _BIG(h)))
+
+
+# Recipes.
+
+_SPECS = (
+    ('{"version":1,"resize":{"maxLongEdge":600},"stripMetadata":true,"format":{"format":"jpeg","options":{"quality":75}}}', None, None),
+    ('{"crop":{"x":4,"y":3,"width":20,"height":14},"rotate":{"angle":15},"flip":{"horizontal":true},"resize":{"width":12}}', None, None),
+    ("[]", "pipeline", "pipeline must be an object, got []"),
+    ('"x"', "pipeline", 'pipeline must be an object, got "x"'),
+    ('{"version":2}', "pipeline.version", "pipeline.version is not a version this library understands (1), got 2"),
+    ('{"blur":3}', "pipeline.blur", "pipeline.blur is not a pipeline stage (expected one of version, crop, rotate, flip, resize, format, stripMetadata, background), got 3"),
+    ('{"crop":{"x":"0","y":0,"width":1,"height":1}}', "pipeline.crop.x", 'pipeline.crop.x must be a number, got "0"'),
+    ('{"rotate":{"angle":"15"}}', "pipeline.rotate.angle", 'pipeline.rotate.angle must be a number, got "15"'),
+    ('{"resize":{}}', "pipeline.resize", "pipeline.resize needs a maxLongEdge, a width, or a height, got {}"),
+    ('{"resize":{"width":4,"resampling":"bicubic"}}', "pipeline.resize.resampling", 'pipeline.resize.resampling must be one of nearest, bilinear, lanczos3, got "bicubic"'),
+    ('{"resize":{"width":4,"fit":"stretch"}}', "pipeline.resize.fit", 'pipeline.resize.fit must be one of fill, contain, cover, got "stretch"'),
+    ('{"format":{"format":"heic"}}', "pipeline.format.format", 'pipeline.format.format must be one of png, jpeg, gif, bmp, tiff, webp, got "heic"'),
+    ('{"background":[1,2,3]}', "pipeline.background", "pipeline.background must be an [r, g, b, a] array of four numbers, got [1,2,3]"),
+    ('{"stripMetadata":"yes"}', "pipeline.stripMetadata", 'pipeline.stripMetadata must be a boolean, got "yes"'),
+    ('{"crop":null}', "pipeline.crop.x", "pipeline.crop.x must be a number, got undefined"),
+    ('{"format":{"format":"png","options":{"quality":80}}}', None, None),
+)
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query("spec_validate", f"SELECT event_id, ({_sql_list(s[1] for s in _SPECS)})[(event_id % {len(_SPECS)} + 1)::INT] AS option, ({_sql_list(s[2] for s in _SPECS)})[(event_id % {len(_SPECS)} + 1)::INT] AS message FROM events")
+def spec_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes as a column, each checked by itself."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.get(F.lit([s[0] for s in _SPECS]), (F.col("event_id") % len(_SPECS)).cast("int")).alias("spec"))
+    return images.check_specs(rows).select("event_id", "error.option", "error.message")
+
+
+@query("spec_per_row", f"SELECT vec_id AS image_id, CASE WHEN vec_id % 3 = 1 THEN 'INVALID_OPTION' END AS code, CASE vec_id % 3 WHEN 0 THEN 5 WHEN 2 THEN 8 END::INT AS width FROM embeddings")
+def spec_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe of its own for each file: one shrinks, one is refused, one is empty."""
+    recipes = F.lit(['{"resize":{"maxLongEdge":5}}', '{"crop":{"x":7,"y":0,"width":2,"height":1}}', "{}"])
+    files = _files(spark, sf_dir, grey).drop("error").withColumn("spec", F.get(recipes, (F.col("image_id") % 3).cast("int")))
+    done = images.run_each(files)
+    size = H.header_size(F.col("content"))
+    return done.select("image_id", F.col("error.code").alias("code"), size["width"].alias("width"))
+
+
+@query("option_whitelist", "SELECT p_partkey, f AS format, o AS option, CASE WHEN NOT list_contains(CASE f WHEN 'jpeg' THEN ['quality', 'background'] WHEN 'gif' THEN ['colors', 'dither'] WHEN 'bmp' THEN ['background'] WHEN 'tiff' THEN ['compression'] WHEN 'webp' THEN ['quality', 'lossless'] ELSE [''] END, o) THEN 'encode.' || o END AS refused FROM (SELECT p_partkey, ['png', 'jpeg', 'gif', 'bmp', 'tiff', 'webp'][(p_partkey % 6 + 1)::INT] AS f, ['quality', 'background', 'colors', 'dither', 'compression', 'lossless', 'blur'][(p_partkey % 7 + 1)::INT] AS o FROM part)")
+def option_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formats, options = list(S.OPTIONS), ["quality", "background", "colors", "dither", "compression", "lossless", "blur"]
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.get(F.lit(formats), (F.col("p_partkey") % 6).cast("int")).alias("format"), F.get(F.lit(options), (F.col("p_partkey") % 7).cast("int")).alias("option"))
+    table = spark.createDataFrame([(f, list(o)) for f, o in S.OPTIONS.items()], "format string, known array<string>")
+    met = rows.join(F.broadcast(table), "format")
+    return met.select("p_partkey", "format", "option", F.when(~F.array_contains("known", F.col("option")), F.concat(F.lit("encode."), "option")).alias("refused"))
+
+
+@query("supported_formats", "SELECT * FROM (VALUES ('png', true), ('jpeg', true), ('gif', true), ('bmp', true), ('tiff', true)) t(format, read)")
+def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that need nothing loaded."""
+    known = catalog.supported_formats()
+    return spark.createDataFrame([(f, f in known["read"]) for f in S.FORMATS if f != "webp"], "format string, read boolean")
 
 
 def queries() -> dict[str, Query]:
