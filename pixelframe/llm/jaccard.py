@@ -3,11 +3,11 @@
 Columns (shingles) are dealt into blocks by their hash. A block first counts its columns; only entries in columns of two
 or more rows can add to a product and go on. A row with fewer such entries than its size demands (a partner must share
 85 % of it, say) meets nobody. The others, one for each different set, bring their rarest entries, as many as a partner
-cannot avoid altogether; products over these columns accumulate overlap counts, bounds on the sizes discard pairs, and
-the rest are counted over all columns.
+cannot avoid altogether. Products over these columns name the pairs; sizes and the columns that are left bound what a pair
+may share and discard most; the overlap of the others is counted over all columns.
 
-Groups are joined without all of their pairs: each column first meets one row as its hub, components are found, and then
-only pairs across components remain, so no link between different components is lost.
+Groups are joined without all of their pairs: in each round the rows of a column meet a few of them as hubs and components
+are found; in the end all pairs across components remain, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .components import components
 GATHER, BLOCK = 2_000_000, 3_000_000
 #: Counts of a column above this sort alike.
 MOST = (1 << 15) - 1
-#: Rounds of hubs before all pairs across components; another is worth while as long as these exceed so many an entry.
-ROUNDS, WORTH = 6, 2
+#: Hubs of a column in a round; rounds before all pairs across components, unless these fall to so many an entry.
+HUBS, ROUNDS, WORTH = 4, 8, 2
 _ENTRIES = "uid long, doc_id long, n long, set1 long, set2 long, entries array<long>"
 
 
@@ -161,7 +161,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # words are at least a byte and a space, so this bounds a block's entries
     letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(16, letters // (7 * BLOCK)))
+    blocks = int(max(48, letters // (7 * BLOCK)))
     blobs = rows.mapInArrow(_blobs(k, blocks), "block int, blob binary").withColumn("blocks", F.lit(blocks))
     entries = blobs.groupBy("block").applyInArrow(_block, _ENTRIES)
     whole = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n", "set1", "set2")]
@@ -173,45 +173,47 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     same = ["n", "set1", "set2"]
     classes = written(fits.groupBy(*same).agg(F.min("uid").alias("c")), f"{folder}/classes")
     sets = written(fits.join(classes.select(F.col("c").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("c"), "n", "entries", (F.size("entries") - need + 1).alias("prefix")), f"{folder}/sets")
-    posted = written(sets.select("c", "n", F.explode(F.slice("entries", F.lit(1), F.col("prefix"))).alias("column"), (F.size("entries") - F.col("prefix")).alias("rest")), f"{folder}/posted")
+    # rest: entries from this one on; a pair whose first common column this is shares no more
+    posted = written(sets.select("c", "n", F.size("entries").alias("m"), (F.col("n") - F.size("entries")).alias("own"), F.posexplode(F.slice("entries", F.lit(1), F.col("prefix"))).alias("at", "column")).select("c", "n", "own", "column", (F.col("m") - F.col("at")).alias("rest")), f"{folder}/posted")
 
-    close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    def able() -> Column:
+        """Whether two rows that meet in a column may share enough, by their sizes and what is left of their entries."""
+        return _linked(F.col("na"), F.col("nb"), F.least("na", "nb", "ra", "rb"), percent)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among (a, na, ra, b, nb, rb), one for each column of the prefix that both have."""
-        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("na", "nb", "ra", "rb")))
-        most = F.col("shared") + F.greatest("ra", "rb")
-        counted = counted.where(_linked(F.col("na"), F.col("nb"), F.least(most, "na", "nb"), percent))
+        """Links among (a, na, b, nb), which may repeat."""
         left = sets.select(F.col("c").alias("a"), F.col("entries").alias("ea"))
         right = sets.select(F.col("c").alias("b"), F.col("entries").alias("eb"))
-        both = counted.select("a", "na", "b", "nb").join(left, "a").join(right, "b")
+        both = pairs.select("a", "na", "b", "nb").distinct().join(left, "a").join(right, "b")
         overlap = F.size(F.array_intersect("ea", "eb"))
         return written(both.where(_linked(F.col("na"), F.col("nb"), overlap, percent)).select("a", "b"), f"{folder}/{name}")
 
-    links, labelled, before = None, posted.withColumn("root", F.col("c")), None
+    links, labelled, before = None, posted.withColumn("root", F.col("c")), 0
     for turn in range(ROUNDS + 1):
         by_root = labelled.groupBy("column", "root").count().groupBy("column").agg(F.sum("count").alias("n_rows"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         pairs_left, rows_left = (int(x or 0) for x in by_root.agg(F.sum((F.col("n_rows") * F.col("n_rows") - F.col("within")) / 2), F.sum("n_rows")).first())
         if not pairs_left:
             break
         open_ = labelled.join(by_root.select("column"), "column", "left_semi")
-        last = pairs_left <= WORTH * rows_left or turn == ROUNDS or (before is not None and pairs_left > 0.9 * before)
+        last = pairs_left <= WORTH * rows_left or turn == ROUNDS or turn > 1 and pairs_left > 0.95 * before
         before = pairs_left
         one = open_.select("column", F.col("c").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("root_a"))
         if last:
             two = open_.select("column", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("root_b"))
-            pairs = one.join(two, "column").where((F.col("root_a") < F.col("root_b")) & close(F.col("na"), F.col("nb")))
+            pairs = one.join(two, "column").where((F.col("root_a") < F.col("root_b")) & able())
         else:
-            # a column's hub differs by round, so that rows that the last one missed meet another
-            hub = open_.groupBy("column").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("c", F.lit(turn)), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("root_b"))).alias("hub"))
-            pairs = one.join(hub.select("column", "hub.b", "hub.nb", "hub.rb", "hub.root_b"), "column").where((F.col("root_a") != F.col("root_b")) & close(F.col("na"), F.col("nb")))
+            # first rows with the fewest entries of their own, as what others were copied from; then any, for each column others
+            order = [F.col("own")] * (turn == 0) + [F.xxhash64("c", "column", F.lit(turn))]
+            lot = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(HUBS))
+            hub = open_.groupBy("column", lot.alias("lot")).agg(F.min(F.struct(*order, F.col("c").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("root_b"))).alias("hub"))
+            pairs = one.join(hub.select("column", "hub.b", "hub.nb", "hub.rb", "hub.root_b"), "column").where((F.col("root_a") != F.col("root_b")) & able())
         found = verified(pairs, f"links-{turn}")
         links = found if links is None else links.unionByName(found)
         roots = components(links, f"{folder}/turn-{turn}")
         links = roots.select(F.col("u").alias("a"), F.col("v").alias("b"))
         if last:
             break
-        labelled = written(posted.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", "n", "column", "rest", F.coalesce("v", "c").alias("root")), f"{folder}/labelled-{turn}")
+        labelled = written(posted.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", "n", "own", "column", "rest", F.coalesce("v", "c").alias("root")), f"{folder}/labelled-{turn}")
     grouped = fits.select("uid", "doc_id", *same).join(classes, same).select("uid", "doc_id", "c")
     if links is not None:
         grouped = grouped.join(links.select(F.col("a").alias("c"), F.col("b").alias("root")), "c", "left").select("uid", "doc_id", F.coalesce("root", "c").alias("root"))
