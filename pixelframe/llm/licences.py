@@ -58,8 +58,8 @@ purpose, commercial or non-commercial, and by any means.""",
     "CC0-1.0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
 this work.""",
 }
-#: What a line of a candidate block says, and lines between two that still belong to one block.
-_HINT = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|public domain|creative commons|free software", re.I)
+#: What a line of a candidate block says; lines between two that still belong to one block, and by which a block is widened.
+_HINT = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|disclaim|public domain|creative commons|free software", re.I)
 GAP = 3
 #: Characters of a window over a longer block, half of which the next one shares; templates that are confirmed, by reduction;
 #: share of a template's words that must stand in the block; blocks that a worker remembers.
@@ -80,8 +80,9 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def blocks(text: str | None) -> list[str]:
-    """Runs of lines that begin and end with a hint, with at most GAP other lines between two; long ones in windows."""
+def blocks(text: str | None) -> list[tuple[str, str]]:
+    """Runs of lines that begin and end with a hint, with at most GAP other lines between two; and each widened by as many
+    lines on either side."""
     if not text or not _HINT.search(text):
         return []
     lines = text.split("\n")
@@ -89,15 +90,15 @@ def blocks(text: str | None) -> list[str]:
     found, begin = [], hinted[0]
     for at, after in zip(hinted, [*hinted[1:], None], strict=True):
         if after is None or after - at > GAP + 1:
-            found.append(plain("\n".join(lines[begin : at + 1])))
+            found.append(tuple(plain("\n".join(lines[max(0, begin - more) : at + 1 + more])) for more in (0, GAP)))
             begin = after
-    out = []
-    for block in found:
-        if len(block) <= WINDOW:
-            out.append(block)
-        else:
-            out += [block[a : a + WINDOW] for a in range(0, len(block) - WINDOW // 2, WINDOW // 2)]
-    return out
+    return found
+
+
+def windows(block: str) -> list[str]:
+    if len(block) <= WINDOW:
+        return [block]
+    return [block[a : a + WINDOW] for a in range(0, len(block) - WINDOW // 2, WINDOW // 2)]
 
 
 class Scanner:
@@ -136,6 +137,15 @@ class Scanner:
         return got
 
 
+    def scan_block(self, block: str, wide: str) -> list[Match]:
+        """Confirmed templates of a block; of the wider one where none stands whole in the block and more stands there."""
+        found = [m for w in windows(block) for m in self.scan(w)]
+        if any(m.missing == 0 for m in found):
+            return found
+        more = [m for w in windows(wide) for m in self.scan(w)]
+        return max(found, more, key=lambda ms: max((m.similarity for m in ms), default=0.0))
+
+
 _FOUND = "uid long, doc_id long, n_blocks int, matches array<struct<license:string,reduction:double,similarity:double,missing:int,added:int>>"
 
 
@@ -150,7 +160,7 @@ def scan(documents: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64()), ("similarity", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())]))
         for batch in batches:
             found = [blocks(t.as_py()) for t in batch.column("text")]
-            matches = [[vars(m) for b in bs for m in scanner.scan(b)] for bs in found]
+            matches = [[vars(m) for b in bs for m in scanner.scan_block(*b)] for bs in found]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array([len(b) for b in found], pa.int32()), pa.array(matches, kind)], names=["uid", "doc_id", "n_blocks", "matches"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -151,7 +151,8 @@ class Quality:
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Quality:
         if not len(y) or y.min() == y.max():  # one label alone says nothing about the other
             return cls(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-        rules = tree_paths(x, y)
+        if not (rules := tree_paths(x, y)):
+            return cls(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
         intercept, weights = lasso(np.stack([r.holds(x) for r in rules], 1).astype(float), y)
         return cls(intercept, [Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if w])
 
