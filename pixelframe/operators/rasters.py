@@ -128,34 +128,53 @@ def rotate(image: Raster, angle: float, resampling: str = "bilinear", background
     steps[0], steps[1] = plan.cos, -plan.sin
     steps[:, :, 0] = np.array(plan.starts(shift)).T
     sx, sy = np.cumsum(steps, 2)
+    see_through = has_alpha(image)
+    image = np.ascontiguousarray(premultiply(image) if see_through and resampling == "bilinear" else image)
+    for top in range(0, plan.height, BAND):  # a band at a time stays in the cache
+        band = slice(top, top + BAND)
+        _rotated(image, out[band], sx[band], sy[band], resampling, see_through)
+    return out
+
+
+#: Rows that a rotation works on at once.
+BAND = 32
+
+
+def _rotated(image: Raster, out: Raster, sx: np.ndarray, sy: np.ndarray, resampling: str, see_through: bool) -> None:
+    """Fills in those pixels of `out` whose places in the source lie inside it."""
+    h, w = image.shape[:2]
+    whole = image.view(np.uint32)[..., 0]  # a pixel as one number
     if resampling == "nearest":
-        px, py = np.floor(sx + 0.5).astype(int), np.floor(sy + 0.5).astype(int)
+        px, py = np.floor(sx + 0.5).astype(np.int64), np.floor(sy + 0.5).astype(np.int64)
         inside = (px >= 0) & (py >= 0) & (px < w) & (py < h)
-        out[inside] = image[py[inside], px[inside]]
-        return out
+        out[inside] = whole[py[inside], px[inside]].view(np.uint8).reshape(-1, 4)
+        return
     inside = (sx >= -0.5) & (sy >= -0.5) & (sx <= w - 0.5) & (sy <= h - 0.5)
     x, y = sx[inside], sy[inside]
-    colour, alpha = _lanczos(image, x - 0.5, y - 0.5) if resampling == "lanczos3" else _bilinear(image, x, y)
+    colour, alpha = _lanczos(image, x - 0.5, y - 0.5) if resampling == "lanczos3" else _bilinear(whole, x, y, see_through)
+    if alpha is None:
+        out[inside] = np.hstack([clamped(colour), np.full((len(colour), 1), 255, np.uint8)])
+        return
     shown = alpha > 0  # without a background the rest is clear already
     pixels = out[inside]
     pixels[shown] = clamped(np.hstack([colour[shown], alpha[shown, None]]))
     out[inside] = pixels
-    return out
 
 
-def _bilinear(image: Raster, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, w = image.shape[:2]
-    see_through = has_alpha(image)
-    source = (premultiply(image) if see_through else image).astype(float)
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    fx, fy = (x - x0)[:, None], (y - y0)[:, None]
-    xs, ys = [np.clip(x0 + d, 0, w - 1) for d in (0, 1)], [np.clip(y0 + d, 0, h - 1) for d in (0, 1)]
-    total = source[ys[0], xs[0]] * ((1 - fx) * (1 - fy))
-    for j, i, weight in ((0, 1, fx * (1 - fy)), (1, 0, (1 - fx) * fy), (1, 1, fx * fy)):
-        total = total + source[ys[j], xs[i]] * weight
+def _bilinear(whole: np.ndarray, x: np.ndarray, y: np.ndarray, see_through: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Colour and alpha (None: opaque throughout) from premultiplied pixels."""
+    h, w = whole.shape
+    x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    fx, fy = x - x0, y - y0
+    xs, ys = [np.clip(x0 + d, 0, w - 1) for d in (0, 1)], [np.clip(y0 + d, 0, h - 1) * w for d in (0, 1)]
+    flat, n, total = whole.reshape(-1), 4 if see_through else 3, None
+    for j, i, weight in ((0, 0, (1 - fx) * (1 - fy)), (0, 1, fx * (1 - fy)), (1, 0, (1 - fx) * fy), (1, 1, fx * fy)):
+        term = flat[ys[j] + xs[i]].view(np.uint8).reshape(-1, 4)[:, :n] * weight[:, None]
+        total = term if total is None else total + term
+    if not see_through:
+        return total, None
     alpha = total[:, 3]
-    scale = 255 / np.where(alpha > 0, alpha, 1) if see_through else np.ones(len(alpha))
-    return total[:, :3] * scale[:, None], alpha
+    return total[:, :3] * (255 / np.where(alpha > 0, alpha, 1))[:, None], alpha
 
 
 def _lanczos_weight(d: np.ndarray) -> np.ndarray:

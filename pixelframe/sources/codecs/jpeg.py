@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -143,36 +144,13 @@ def orientation(content: bytes) -> int:
     return 1
 
 
-class _Bits:
-    """Bits of a scan. Stuffed zeros are taken out and restart intervals split beforehand."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.n = data, 0, 0, 0
-
-    def need(self, n: int) -> None:
-        while self.n < n:
-            byte = self.data[self.at] if self.at < len(self.data) else 0
-            if self.at > len(self.data) + 64:
-                raise CorruptImage("JPEG scan data is short")
-            self.at += 1
-            self.held = (self.held << 8 | byte) & 0xFFFFFFFFFF
-            self.n += 8
-
-    def symbol(self, table: list[int]) -> int:
-        self.need(16)
-        entry = table[self.held >> (self.n - 16) & 0xFFFF]
-        if not entry:
-            raise CorruptImage("JPEG code is in no table")
-        self.n -= entry >> 8
-        return entry & 255
-
-    def extended(self, size: int) -> int:
-        if not size:
-            return 0
-        self.need(size)
-        self.n -= size
-        value = self.held >> self.n & ((1 << size) - 1)
-        return value if value >> (size - 1) else value - (1 << size) + 1
+def _windows(data: bytes) -> array:
+    """The 40 bits from each byte on; zeros follow the end."""
+    raw = np.frombuffer(data + b"\0" * 96, np.uint8).astype(np.int64)
+    out = raw[: len(raw) - 4] << 32
+    for k in range(1, 5):
+        out |= raw[k : len(raw) - 4 + k] << (32 - 8 * k)
+    return array("q", out.tobytes())
 
 
 def _lookup(counts: tuple[int, ...], symbols: bytes) -> list[int]:
@@ -233,37 +211,65 @@ def _scan(content: bytes, begin: int, end: int, frame: Frame, tables: dict, inte
     step = interval or total
     if len(pieces) < -(-total // step):
         raise CorruptImage("JPEG restart marker is missing")
+    held = [array("i", c.blocks.tobytes()) for c, _, _ in chosen]
     for piece, first in zip(pieces, range(0, total, step), strict=False):
-        bits, before = _Bits(piece), [0] * n
-        for unit in range(first, min(total, first + step)):
-            row, column = divmod(unit, columns)
-            for i, y, x in units:
-                c, dc, ac = chosen[i]
-                block = c.blocks[row, column] if n == 1 else c.blocks[row * c.v + y, column * c.h + x]
-                size = bits.symbol(dc)
-                if size > 11:
-                    raise CorruptImage("JPEG difference is too large")
-                before[i] += bits.extended(size)
-                block[0] = before[i]
-                k = 1
-                while k < 64:
-                    symbol = bits.symbol(ac)
-                    size = symbol & 15
-                    if size:
-                        k += symbol >> 4
-                        if k > 63:
-                            raise CorruptImage("JPEG run goes beyond its block")
-                        block[k] = bits.extended(size)
-                        k += 1
-                    elif symbol == 0xF0:
-                        k += 16
-                    else:
-                        break
+        _interval(piece, chosen, held, units, columns, first, min(total, first + step))
+    for (c, _, _), values in zip(chosen, held, strict=True):
+        c.blocks = np.frombuffer(values, np.int32).reshape(c.blocks.shape)
     for c, _, _ in chosen:
         c.scanned = True
     return at
 
 
+def _interval(piece: bytes, chosen: list, held: list[array], units: list, columns: int, first: int, end: int) -> None:
+    """Decodes the blocks between two restart markers; `held` has each component's coefficients. A code and its value lie
+    within 32 bits, which one look at the windows gives."""
+    windows, at, limit = _windows(piece), 0, 8 * len(piece) + 64 * 8
+    before = [0] * len(chosen)
+    alone = len(chosen) == 1
+    for unit in range(first, end):
+        row, column = divmod(unit, columns)
+        for i, y, x in units:
+            c, dc, ac = chosen[i]
+            values = held[i]
+            base = 64 * (row * c.blocks.shape[1] + column if alone else (row * c.v + y) * c.blocks.shape[1] + column * c.h + x)
+            if at > limit:
+                raise CorruptImage("JPEG scan data is short")
+            bits = windows[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
+            entry = dc[bits >> 16]
+            size = entry & 255
+            if not entry or size > 11:
+                raise CorruptImage("JPEG difference has no code or is too large")
+            at += (entry >> 8) + size
+            if size:
+                value = bits >> (32 - (entry >> 8) - size) & ((1 << size) - 1)
+                before[i] += value if value >> (size - 1) else value - (1 << size) + 1
+            values[base] = before[i]
+            k = 1
+            while k < 64:
+                bits = windows[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
+                entry = ac[bits >> 16]
+                if not entry:
+                    raise CorruptImage("JPEG code is in no table")
+                size = entry & 15
+                length = entry >> 8
+                if size:
+                    k += entry >> 4 & 15
+                    if k > 63:
+                        raise CorruptImage("JPEG run goes beyond its block")
+                    at += length + size
+                    value = bits >> (32 - length - size) & ((1 << size) - 1)
+                    values[base + k] = value if value >> (size - 1) else value - (1 << size) + 1
+                    k += 1
+                else:
+                    at += length
+                    if entry & 255 != 0xF0:
+                        break
+                    k += 16
+                if at > limit:
+                    raise CorruptImage("JPEG scan data is short")
+
+
 def read(content: bytes) -> Frame:
     """The whole file down to coefficients."""
     frame, tables, quant, interval, adobe = None, {}, {}, 0, None
@@ -321,9 +327,8 @@ def read(content: bytes) -> Frame:
 
 def _coefficients(c: Component, quant: dict) -> np.ndarray:
     """(rows, columns, 8, 8), dequantised, in natural order."""
-    out = np.zeros((*c.blocks.shape[:2], 64), np.int64)
-    out[..., ZIGZAG] = c.blocks * quant[c.table]
-    return out.reshape(*c.blocks.shape[:2], 8, 8)
+    natural = np.argsort(ZIGZAG)
+    return (c.blocks[..., natural] * quant[c.table][natural].astype(np.int32)).reshape(*c.blocks.shape[:2], 8, 8)
 
 
 # The multipliers of the accurate integer transform, in 13 bits.
@@ -348,9 +353,14 @@ def _pass(v: list[np.ndarray], shift: int) -> list[np.ndarray]:
 
 def inverse(blocks: np.ndarray) -> np.ndarray:
     """Samples 0..255 of blocks (..., 8, 8), by the integer transform that keeps 2 bits more between its passes."""
-    columns = np.stack(_pass([blocks[..., k, :] for k in range(8)], 11), -2)
-    rows = np.stack(_pass([columns[..., k] for k in range(8)], 18), -1)
-    return np.clip(rows + 128, 0, 255).astype(np.uint8)
+    flat, out = blocks.reshape(-1, 8, 8), np.empty(blocks.shape, np.uint8)
+    done = out.reshape(-1, 8, 8)
+    for a in range(0, len(flat), 2048):  # so many at a time stay in the cache
+        part = np.ascontiguousarray(np.moveaxis(flat[a : a + 2048], 0, 2))
+        columns = np.stack(_pass(list(part), 11))
+        rows = np.stack(_pass([columns[:, k] for k in range(8)], 18))
+        done[a : a + 2048] = np.clip(rows + 128, 0, 255).astype(np.uint8).transpose(2, 1, 0)
+    return out
 
 
 def reduced_inverse(blocks: np.ndarray, n: int) -> np.ndarray:

@@ -57,6 +57,10 @@ def probe(content: bytes) -> tuple[int, int]:
 def _unfiltered(data: np.ndarray, rows: int, row_bytes: int, step: int) -> np.ndarray:
     """Rows of bytes without their filters; `step` bytes make a whole pixel."""
     lines = data[: rows * (row_bytes + 1)].reshape(rows, row_bytes + 1)
+    if lines[:, 0].max() > 4:
+        raise CorruptImage(f"PNG filter {lines[:, 0].max()} is not known")
+    if (lines[:, 0] >= 3).any():
+        return _diagonally(lines[:, 0], lines[:, 1:].reshape(rows, -1, step)).reshape(rows, row_bytes)
     out = np.zeros((rows + 1, row_bytes + step), np.uint8)  # a row above and a pixel to the left, of zeros
     for y in range(rows):
         kind, line, up = lines[y, 0], lines[y, 1:], out[y]
@@ -66,28 +70,32 @@ def _unfiltered(data: np.ndarray, rows: int, row_bytes: int, step: int) -> np.nd
         elif kind == 1:
             for k in range(step):
                 here[step + k :: step] = np.cumsum(line[k::step], dtype=np.uint8)
-        elif kind == 2:
-            here[step:] = line + up[step:]
-        elif kind in (3, 4):
-            _recursive(kind == 4, line.tolist(), up.tolist(), here, step)
         else:
-            raise CorruptImage(f"PNG filter {kind} is not known")
+            here[step:] = line + up[step:]
     return out[1:, step:]
 
 
-def _recursive(paeth: bool, line: list[int], up: list[int], here: np.ndarray, step: int) -> None:
-    """Average and Paeth: each byte needs the one before it."""
-    row = [0] * (len(line) + step)
-    for i, value in enumerate(line):
-        a, b = row[i], up[i + step]
-        if paeth:
-            c = up[i]
-            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-        else:
-            guess = (a + b) >> 1
-        row[i + step] = (value + guess) & 255
-    here[:] = row
+def _diagonally(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Rows under any filters. A pixel needs those to its left, above, and above left, which lie on the two diagonals before
+    its own, so a whole diagonal is one step."""
+    rows, columns, step = lines.shape
+    out = np.empty(lines.shape, np.uint8)
+    flat, source = out.reshape(-1, step), np.ascontiguousarray(lines).reshape(-1, step)
+    last, older = np.zeros((rows + 1, step), np.int16), np.zeros((rows + 1, step), np.int16)  # entry y + 1 is row y's
+    sub, up, mean, paeth = ((kinds == k)[:, None] for k in (1, 2, 3, 4))
+    for t in range(rows + columns - 1):
+        begin, end = max(0, t - columns + 1), min(rows, t + 1)
+        at = np.arange(begin, end) * (columns - 1) + t
+        a, b, c = last[begin + 1 : end + 1], last[begin:end], older[begin:end]
+        guess = np.where(sub[begin:end], a, 0) + np.where(up[begin:end], b, 0) + np.where(mean[begin:end], (a + b) >> 1, 0)
+        pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        near = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        here = (source[at] + np.where(paeth[begin:end], near, guess)) & 255
+        flat[at] = here
+        older, last = last, older
+        last[begin + 1 : end + 1] = here
+        last[end + 1 :] = 0
+    return out
 
 
 def _samples(lines: np.ndarray, width: int, depth: int, channels: int) -> np.ndarray:
