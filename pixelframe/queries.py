@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
 from .functions import headers as H
 from .functions import numerics as N
+from .operators import rasters as R
 from .operators.pixels import Pixels, bilinear_plan, nearest_plan
 from .plans import geometry as G
 from .plans import spec as S
@@ -121,6 +123,27 @@ def sql_rotated(source: str, n: int, angle: float, kernel: str, fill: tuple[int,
     return f"SELECT q.image_id, k0 // {plan.width} AS y, k0 % {plan.width} AS x, {shown} FROM ({grid}) q LEFT JOIN ({total}) t ON t.image_id = q.image_id AND t.k = q.k0"
 
 
+def sql_rotated_lanczos3(source: str, n: int, angle: float) -> str:
+    """Every tap of every destination pixel as a literal."""
+    plan, rows, norms = G.Rotation.of(n, n, angle), [], []
+    weight = lambda v: float(R._lanczos_weight(np.float64(v)))
+    for k, (sx, sy) in enumerate(p for row in plan.places(0.0) for p in row):
+        if not (-0.5 <= sx <= n - 0.5 and -0.5 <= sy <= n - 0.5):
+            continue
+        x, y, total, taps = sx - 0.5, sy - 0.5, 0.0, []
+        for j in range(max(0, math.ceil(y - 3)), min(n - 1, math.floor(y + 3)) + 1):
+            for i in range(max(0, math.ceil(x - 3)), min(n - 1, math.floor(x + 3)) + 1):
+                taps.append((j * n + i, weight(j - y) * weight(i - x)))
+                total += taps[-1][1]
+        norms.append(f"({k}, {d(1 / total)})")
+        rows += [f"({k}, {at}, {i}, {d(w)})" for at, (i, w) in enumerate(taps)]
+    sums = ", ".join(f"{sql_sum(f'list({c} * (a / 255::DOUBLE) * w ORDER BY j)')} AS {c}" for c in "rgb") + f", {sql_sum('list(a * w ORDER BY j)')} AS a"
+    total = f"SELECT image_id, k, {sums} FROM ({source}) s JOIN (VALUES {', '.join(rows)}) t(k, j, i, w) ON s.y * {n} + s.x = t.i GROUP BY image_id, k"
+    grid = f"SELECT vec_id AS image_id, unnest(range({plan.width * plan.height})) AS k0 FROM embeddings"
+    shown = ", ".join(f"CASE WHEN t.a IS NULL OR t.a * m <= 0 THEN 0 ELSE {v} END AS {c}" for c, v in zip("rgba", [sql_clamp(f"t.{c} * m * (255::DOUBLE / (t.a * m))") for c in "rgb"] + [sql_clamp("t.a * m")], strict=True))
+    return f"SELECT q.image_id, k0 // {plan.width} AS y, k0 % {plan.width} AS x, {shown} FROM ({grid}) q LEFT JOIN ({total}) t ON t.image_id = q.image_id AND t.k = q.k0 LEFT JOIN (VALUES {', '.join(norms)}) v(k, m) ON v.k = q.k0"
+
+
 # Pixels and exact geometry.
 
 pixels("pixels_grey", grey, lambda p: p, GREY)
@@ -541,7 +564,7 @@ packed("packed_cover", grey, {"resize": {"width": 12, "height": 6, "fit": "cover
 packed("packed_rotate_nearest", rgba, {"background": [1, 2, 3, 4], "rotate": {"angle": -77.5, "resampling": "nearest"}}, SQL["rotate_nearest_background"])
 packed("packed_rotate_bilinear", grey, {"rotate": {"angle": 15}}, SQL["rotate_bilinear"])
 packed("packed_rotate_bilinear_alpha", rgba, {"rotate": {"angle": 200, "background": [250, 0, 120, 255]}}, SQL["rotate_bilinear_alpha"])
-packed("packed_rotate_lanczos3", rgba, {"rotate": {"angle": 33, "resampling": "lanczos3"}}, None)
+packed("packed_rotate_lanczos3", rgba, {"rotate": {"angle": 33, "resampling": "lanczos3"}}, sql_rotated_lanczos3(RGBA, 4, 33))
 
 
 @query("codec_jpeg_error")
