@@ -67,7 +67,7 @@ class Pixels:
         x, y, w, h = F.col("x"), F.col("y"), self.width, self.height
         turns = G.quarter_turns(angle)
         if turns is None:
-            raise G.InvalidOption("rotate90.angle", angle, "must be a multiple of 90")
+            raise G.InvalidOption("rotate.angle", angle, "rotate90 only accepts multiples of 90")
         return [lambda: self, lambda: self._moved(x, h - 1 - y, h, w), lambda: self._moved(h - 1 - y, w - 1 - x), lambda: self._moved(w - 1 - x, y, h, w)][turns]()
 
     def oriented(self, orientation: int) -> Pixels:

@@ -43,7 +43,7 @@ def flip(image: Raster, horizontal: bool = False, vertical: bool = False) -> Ras
 def rotate90(image: Raster, angle: float) -> Raster:
     turns = G.quarter_turns(angle)
     if turns is None:
-        raise InvalidOption("rotate90.angle", angle, "must be a multiple of 90")
+        raise InvalidOption("rotate.angle", angle, "rotate90 only accepts multiples of 90")
     return np.ascontiguousarray(np.rot90(image, -turns))
 
 

@@ -456,7 +456,7 @@ def _quantised(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def encode(image: Raster, quality: int = 82, background: tuple[int, ...] = WHITE) -> bytes:
     if not is_integer(quality) or not 1 <= quality <= 100:
-        raise InvalidOption("encode.quality", quality, "must be an integer from 1 to 100")
+        raise InvalidOption("jpeg.quality", quality, "must be an integer from 1 to 100")
     height, width = image.shape[:2]
     rgb = composite(image, background)
     r, g, b = rgb[..., 0], rgb[..., 1], rgb[..., 2]

@@ -251,7 +251,7 @@ def pack_lzw(data: bytes) -> bytes:
 
 def encode(image: Raster, compression: str = "lzw") -> bytes:
     if compression not in ("lzw", "none"):
-        raise InvalidOption("encode.compression", compression, "must be one of lzw, none")
+        raise InvalidOption("tiff.compression", compression, "must be 'none' or 'lzw'")
     height, width = image.shape[:2]
     alpha = has_alpha(image)
     n = 4 if alpha else 3

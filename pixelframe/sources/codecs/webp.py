@@ -85,10 +85,10 @@ def encode(image: Raster, quality: float | None = None, lossless: bool = False)
     import io
 
     if lossless and quality is not None:
-        raise InvalidOption("encode.quality", quality, "cannot go with lossless")
+        raise InvalidOption("encode.quality", quality, "is ignored when lossless is true; pass one or the other")
     quality = 80 if quality is None else quality
     if not is_number(quality) or not math.isfinite(quality) or not 1 <= quality <= 100:
-        raise InvalidOption("encode.quality", quality, "must be a number between 1 and 100")
+        raise InvalidOption("encode.quality", quality, "must be between 1 and 100")
     out = io.BytesIO()
     load().fromarray(image, "RGBA").save(out, "WEBP", quality=quality, lossless=lossless)
     if not out.getvalue():
