@@ -28,7 +28,10 @@ REMEMBERED = 800_000
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).min // 4
 _LOWEST, _BITS, _MASK = -(1 << 20), 20, (1 << 20) - 1
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words, and finer: letters apart from other characters, for models none of whose pieces has both.
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_FINE = re.compile(rf"{SPACE}*[^\W\d_¹²³¼½¾]+|{SPACE}*(?:[\d_¹²³¼½¾]|[^\w{SPACE}])+|{SPACE}+")
+_LETTER = re.compile(r"[^\W\d_¹²³¼½¾]")
 _loaded: dict[str, Pieces] = {}
 
 
@@ -42,9 +45,7 @@ class _Memory(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        parts = self.pieces.parts(word)
-        got = b"".join([self[part] for part in parts]) if len(parts) > 1 else _bytes(self.pieces.word(word)[0])
-        self[word] = got
+        got = self[word] = _bytes(self.pieces.word(word)[0])
         return got
 
 
@@ -80,6 +81,8 @@ class Pieces:
         self.pairs = {self.names[i][k : k + 2] for i in normal for k in range(len(self.names[i]) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.pairs):
             raise ValueError("pieces across words aren't read")
+        apart = not any(bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in self.pairs if SPACE not in (a, b))
+        self.segments = (_FINE if apart else _WORD).findall
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(not model.is_byte(i) for i in self.byte_ids):
             raise ValueError("the model has no bytes to fall back on")
@@ -155,14 +158,17 @@ class Pieces:
 
     def word(self, text: str) -> tuple[list[int], int]:
         """As `best`, for a whole word: nearly all time goes here."""
-        n, longest, arcs, unknown = len(text), self.longest, self.arcs, self.unknown
-        score, back, ids = [0] + [_NONE] * n, [0] * (n + 1), [-1] * (n + 1)
+        n, longest, arcs, pairs, unknown = len(text), self.longest, self.arcs, self.pairs, self.unknown
+        score, back, ids, origin = [0] + [_NONE] * n, [0] * (n + 1), [-1] * (n + 1), 0
         for at in range(n):
-            so_far, place = score[at], at + 1
+            so_far = score[at]
+            if text[at - 1 : at + 1] not in pairs:
+                origin = at
+            place = at - origin + 1
             if text[at] not in arcs or arcs[text[at]] is None:
-                if so_far + unknown > score[place]:
-                    score[place], back[place], ids[place] = so_far + unknown, at, -1
-            for end in range(place, min(n, at + longest) + 1):
+                if so_far + unknown > score[at + 1]:
+                    score[at + 1], back[at + 1], ids[at + 1] = so_far + unknown, at, -1
+            for end in range(at + 1, min(n, at + longest) + 1):
                 piece = text[at:end]
                 if piece not in arcs:
                     break
@@ -179,7 +185,7 @@ class Pieces:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         memory = self.memory
-        return b"".join([memory[part] for part in _SEGMENT.findall(normalise(text or ""))])
+        return b"".join([memory[part] for part in self.segments(normalise(text or ""))])
 
     def decode(self, ids: bytes) -> str:
         content = self.content
