@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .common import SPACE, small_batches, utf8, word_hashes
 from .jaccard import shingles
-from .samples import labelled
+from .samples import fitted, labelled
 
 STATISTICS = ["log_words", "word_bytes", "letters", "upper", "digits", "stops", "marks", "exclaims", "bars", "high", "lines", "distinct", "repeats", "distinct_triples", "common"]
 #: Labelled rows the rules are learnt from, at most about.
@@ -187,8 +187,8 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, sample: int =
     """The model from about `sample` labelled documents for which `train` holds. Null labels are left out; without labels of
     both kinds the score is a constant."""
     rows = labelled(documents, labels, "quality", train, sample)
-    got = with_statistics(rows, "order", "doc_id", "label").orderBy("order", "doc_id").limit(2 * sample).toPandas()
-    return Quality.fit(got[STATISTICS].to_numpy(float), (got["label"] > 0).to_numpy(float))
+    measured = with_statistics(rows, "order", "doc_id", "label")
+    return fitted(measured, lambda t: Quality.fit(np.stack([np.asarray(t.column(c)) for c in STATISTICS], 1), (np.asarray(t.column("label")) > 0).astype(float)))
 
 
 def score(documents: DataFrame, model: Quality) -> DataFrame:

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PARTS = 1 << 20
 
 
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """What `fit` makes of a bounded sample with the columns order and doc_id, sorted by them, in one task: the driver gets
+    the result alone, and a lost executor costs a retry."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema) for b in batches], schema)
+        model = fit(rows.sort_by([("order", "ascending"), ("doc_id", "ascending")]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit(schema.empty_table())  # no row at all, no task
+
+
 def labelled(documents: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
     """doc_id, text, label, order of about `bound` labelled documents for which `train` holds (a condition on doc_id). The
     sample is drawn by id before the join, so only its texts are shuffled. An id with several labels counts with the

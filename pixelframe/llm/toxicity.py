@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix, small_batches, utf8, word_spans
-from .samples import labelled
+from .samples import fitted, labelled
 
 #: Words of a window, of which the next one shares half; sizes of the vectors, the state and the attention.
 WINDOW, VECTOR, STATE, ATTENTION = 16, 8, 8, 8
@@ -327,8 +327,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def learn(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Toxicity:
     """The model from about `sample` labelled documents for which `train` holds. Null labels are left out, null texts are
     empty; without labels of both kinds the score is a constant."""
-    rows = labelled(documents, labels, "toxic", train, sample).select("doc_id", "text", "label", "order").toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
-    return fit(Texts.of(*utf8(rows.column("text"))), (np.asarray(rows.column("label")) > 0).astype(np.int64))
+    rows = labelled(documents, labels, "toxic", train, sample).select("doc_id", "text", "label", "order")
+    return fitted(rows, lambda t: fit(Texts.of(*utf8(t.column("text"))), (np.asarray(t.column("label")) > 0).astype(np.int64)))
 
 
 def _scored(documents: DataFrame, model: Toxicity, kept: Column) -> DataFrame:
