@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.llm import decontaminate, jaccard, quality, sentencepiece, toxicity
-from pixelframe.llm.common import remainder, shared_dir, table
+from pixelframe.llm.common import mark, remainder, shared_dir, table
 from pixelframe.llm.queries import piece_model
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs, a table as read, whose number in the order read is in `decided`."""
-    numbered = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"))
-    return numbered.join(decided.select("uid"), "uid", "left_semi").select("row.*")
+    """The rows of docs that `decided` has by id and text; equal ones once."""
+    id_ = F.col("doc_id").cast("long")
+    key = [F.coalesce(id_, F.lit(0)).alias("k"), id_.isNull().alias("no_id")]
+    rows = docs.select(F.struct("*").alias("row"), *key, mark(F.col("text")).alias("mark"))
+    return rows.join(decided.select(*key, "mark"), ["k", "no_id", "mark"], "left_semi").dropDuplicates(["k", "no_id", "mark"]).select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words of a benchmark item in a row, or the whole of a shorter one, go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), numbered=True)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), marked=True)
     return _kept(docs, found.where(~F.col("contaminated")))
 
 

@@ -6,11 +6,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: documents are kilobytes, so the default of 10,000 rows would be tens of megabytes.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Bytes that the vectorised word hashing takes at once; it needs about 40 bytes of memory for each.
 SEGMENT = 2 << 20
 
@@ -43,6 +43,11 @@ def written(df: DataFrame, to: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def mark(text: Column) -> Column:
+    """Tells rows of one id apart by their text, in any scan of any table; numbers of rows only hold within one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def remainder(column: str, by: int):
     """crc32 of an id as text, modulo `by`; null ids count as remainder -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by, F.lit(-1))

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mark, shared_dir, written
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bits of the bitmap of words; fuller ones only let more words through to the join.
 BITS = 1 << 20
@@ -77,31 +79,31 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, numbered: bool = False) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, marked: bool = False) -> DataFrame:
     """Per row of `documents` (doc_id, text): n_words, n_hit (words inside an occurrence of `window` consecutive words of
     an item, or of the whole of a shorter one), n_items, items_sha256, contaminated. Null and empty texts have no words
     and no hits; items without words take no part; equal items under one id count once. Rows with equal ids stay apart,
-    and further columns are not read. An empty benchmark hits nothing. numbered: with uid, the row's number in the order read."""
+    and further columns are not read. An empty benchmark hits nothing. marked: with mark, which tells rows of one id apart by their text (common.mark)."""
     if not 1 <= window:
         raise ValueError("window must be at least 1")
-    index = anchors(documents, benchmark, window).cache()
+    index = written(anchors(documents, benchmark, window), f"{shared_dir(documents.sparkSession)}/anchors")
     n = index.count()
     held = _bitmap(index, "anchor")
-    rows = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", words(F.col("text")).alias("w"))
+    rows = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", mark(F.col("text")).alias("mark"), words(F.col("text")).alias("w"))
     w = F.col("w")
     places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _may_hold(held, F.get(w, i)))
     places = F.when(F.size(w) > 0, F.transform(places, lambda i: F.struct(i.alias("at"), F.get(w, i).alias("anchor"), *_around(w, i, window))))
-    candidates = rows.select("uid", "doc_id", F.size(w).cast("long").alias("n_words"), F.explode_outer(places).alias("c"))
+    candidates = rows.select("uid", "doc_id", "mark", F.size(w).cast("long").alias("n_words"), F.explode_outer(places).alias("c"))
     # words hold no blank, so a row without a candidate has a key of its own that meets nothing
-    candidates = candidates.select("uid", "doc_id", "n_words", F.col("c.at").alias("at"), F.coalesce("c.anchor", F.concat(F.lit(" "), F.col("uid").cast("string"))).alias("anchor"), F.col("c.left").alias("l"), F.col("c.right").alias("r"))
+    candidates = candidates.select("uid", "doc_id", "mark", "n_words", F.col("c.at").alias("at"), F.coalesce("c.anchor", F.concat(F.lit(" "), F.col("uid").cast("string"))).alias("anchor"), F.col("c.left").alias("l"), F.col("c.right").alias("r"))
     met = candidates.join(F.broadcast(index) if n <= BROADCAST_ANCHORS else index, "anchor", "left")
     before, after = _agree(F.col("l"), F.col("left")), _agree(F.col("r"), F.col("right"))
     met = met.withColumn("before", before).withColumn("after", after).withColumn("hit", F.coalesce(F.col("before") + F.col("after") + 1 >= F.col("need"), F.lit(False)))
     run = F.when(F.col("hit"), F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("after")).alias("b")))
-    by_row = met.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set(run).alias("runs"), F.collect_set(F.when(F.col("hit"), F.col("item_id").cast("string"))).alias("items"))
+    by_row = met.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.max("n_words").alias("n_words"), F.collect_set(run).alias("runs"), F.collect_set(F.when(F.col("hit"), F.col("item_id").cast("string"))).alias("items"))
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(F.array_sort("runs"), start, lambda acc, x: F.struct(F.greatest(acc["last"], x["b"]).alias("last"), (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"] - 1, acc["last"]))).cast("long").alias("n")))
-    return by_row.select(*["uid"] * numbered, "doc_id", "n_words", covered["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+    return by_row.select(*["mark"] * marked, "doc_id", "n_words", covered["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shared_dir, small_batches, utf8, word_hashes, written
+from .common import mark, mix, shared_dir, small_batches, utf8, word_hashes, written
 from .components import components
 
 #: Entries that a mapper gathers (with fewer than 2**16 documents), and entries that a block is planned for.
@@ -28,7 +28,9 @@ GATHER, BLOCK = 2_000_000, 3_000_000
 MOST = (1 << 15) - 1
 #: Hubs of a column in a round; rounds before all pairs across components, unless these fall to so many an entry.
 HUBS, ROUNDS, WORTH = 4, 8, 2
-_ENTRIES = "uid long, doc_id long, n long, set1 long, set2 long, entries array<long>"
+_ENTRIES = "uid long, doc_id long, mark long, n long, set1 long, set2 long, entries array<long>"
+#: What a block holds of the documents that are at home in it, and of all that have entries there.
+_HOME = (("uid", "<i8"), ("doc", "<i8"), ("mark", "<i8"), ("null", "u1"), ("n", "<i8"), ("set1", "<u8"), ("set2", "<u8"))
 
 
 def shingles(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +54,7 @@ def _blobs(k: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
             key = np.concatenate([p[0] + (np.uint64(base) << np.uint64(48)) for p, base in zip(parts, np.cumsum([0] + [len(p[1]) for p in parts[:-1]]), strict=True)])
-            uid, doc, null = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3))
+            uid, doc, mark, null = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3, 4))
             key.sort()
             if len(key):
                 key = key[np.append(True, key[1:] != key[:-1])]
@@ -70,17 +72,18 @@ def _blobs(k: int, blocks: int):
             order = np.argsort(block, kind="stable")
             cut = np.searchsorted(block[order], np.arange(blocks + 1))
             home = uid % blocks
+            about = {"uid": uid, "doc": doc, "mark": mark, "null": null, "n": n, "set1": first, "set2": second}
             rows = ([], [])
             for b in range(blocks):
                 mine = order[cut[b] : cut[b + 1]]
                 d = document[mine]
                 own = np.flatnonzero(home == b)
-                docs = np.union1d(d, own)
-                if len(docs):
+                if len(d) or len(own):
+                    docs = np.unique(d)
                     count = np.bincount(np.searchsorted(docs, d), minlength=len(docs)).astype("<u4")
                     six = key[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                     rows[0].append(b)
-                    rows[1].append(b"".join((np.int64(len(docs)).tobytes(), uid[docs].tobytes(), doc[docs].tobytes(), null[docs].tobytes(), n[docs].astype("<i8").tobytes(), first[docs].tobytes(), second[docs].tobytes(), count.tobytes(), six.tobytes())))
+                    rows[1].append(b"".join((np.array([len(own), len(docs)], "<i8").tobytes(), *(about[k][own].astype(t).tobytes() for k, t in _HOME), uid[docs].tobytes(), count.tobytes(), six.tobytes())))
             for j in range(0, len(rows[0]), 8):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0][j : j + 8], pa.int32()), pa.array(rows[1][j : j + 8], pa.binary())], names=["block", "blob"])
 
@@ -89,14 +92,14 @@ def _blobs(k: int, blocks: int):
             words, at = word_hashes(*utf8(batch.column("text")))
             key, document = shingles(words, at, k)
             ids = batch.column("doc_id")
-            uid, doc, null = np.asarray(batch.column("uid")), np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()).astype(np.uint8)
+            uid, doc, mark, null = np.asarray(batch.column("uid")), np.asarray(ids.fill_null(0)), np.asarray(batch.column("mark")), np.asarray(ids.is_null()).astype(np.uint8)
             for begin in range(0, len(uid), 1 << 15):  # 16 bits number a flush's documents
                 rows = slice(begin, begin + (1 << 15))
                 if docs + len(uid[rows]) > 1 << 16:
                     yield from flush(parts)
                     parts, held, docs = [], 0, 0
                 mine = slice(*np.searchsorted(document, [begin, begin + (1 << 15)]))
-                parts.append(((key[mine] >> np.uint64(16)) + ((document[mine] - begin).astype(np.uint64) << np.uint64(48)), uid[rows], doc[rows], null[rows]))
+                parts.append(((key[mine] >> np.uint64(16)) + ((document[mine] - begin).astype(np.uint64) << np.uint64(48)), uid[rows], doc[rows], mark[rows], null[rows]))
                 held, docs = held + len(parts[-1][0]), docs + len(uid[rows])
             if held >= GATHER:
                 yield from flush(parts)
@@ -109,21 +112,27 @@ def _blobs(k: int, blocks: int):
 
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
     """Entries of a block in columns of two or more rows, by document; the rarest columns sort first."""
-    got, documents = [], 0
+    homes, got, documents = [], [], 0
     for blob in rows.column("blob"):
         raw = blob.as_py()
-        m = int(np.frombuffer(raw, "<i8", 1)[0])
-        at, take = 8, []
-        for kind in ("<i8", "<i8", "u1", "<i8", "<i8", "<i8", "<u4"):
-            take.append(np.frombuffer(raw, kind, m, at))
+        at = 16
+
+        def field(kind: str, m: int) -> np.ndarray:
+            nonlocal at
             at += m * np.dtype(kind).itemsize
+            return np.frombuffer(raw, kind, m, at - m * np.dtype(kind).itemsize)
+
+        own, m = np.frombuffer(raw, "<i8", 2).tolist()
+        homes.append([field(kind, own) for _, kind in _HOME])
+        uid, count = field("<i8", m), field("<u4", m)
         six = np.frombuffer(raw, np.uint8, -1, at).reshape(-1, 6)
         wide = np.zeros((len(six), 8), np.uint8)
         wide[:, :6] = six
-        got.append((*take[:6], np.repeat(np.arange(m, dtype=np.int32) + documents, take[6]), wide.view("<i8").ravel()))
+        got.append((uid, np.repeat(np.arange(m, dtype=np.int32) + documents, count), wide.view("<i8").ravel()))
         documents += m
-    uid, doc, null, n, set1, set2, document, entry = (np.concatenate([g[j] for g in got]) for j in range(8))
-    del got
+    uid, document, entry = (np.concatenate([g[j] for g in got]) for j in range(3))
+    home = {name: np.concatenate([h[j] for h in homes]) for j, (name, _) in enumerate(_HOME)}
+    del got, homes
     order = np.argsort(entry)
     sorted_ = entry[order]
     heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
@@ -135,13 +144,13 @@ def _block(key: tuple, rows: pa.Table) -> pa.Table:
     document = document[keep]
     order = np.argsort(document, kind="stable")
     document, value = document[order], value[order]
-    b = int(key[0].as_py())
-    blocks = int(rows.column("blocks")[0].as_py())
-    shown = np.union1d(document, np.flatnonzero(uid % blocks == b))
-    offsets = np.append(np.searchsorted(document, shown), len(value)).astype(np.int32)
-    home = uid[shown] % blocks != b
-    take = lambda a, mask=home: pa.array(a[shown], mask=mask)
-    return pa.table({"uid": pa.array(uid[shown]), "doc_id": take(doc, home | (null[shown] > 0)), "n": take(n), "set1": take(set1), "set2": take(set2), "entries": pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))})
+    shown, first = np.unique(document, return_index=True)
+    offsets = np.append(first, len(value)).astype(np.int32)
+    # rows at home here say what they are; the others only have entries
+    n, m = len(home["uid"]), len(shown)
+    told = lambda name, mask=None: pa.array(np.append(home[name].view(np.int64), np.zeros(m, np.int64)), mask=np.append(np.zeros(n, bool) if mask is None else mask, np.ones(m, bool)))
+    entries = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n, np.int32), offsets)), pa.array(value))
+    return pa.table({"uid": pa.array(np.append(home["uid"], uid[shown])), "doc_id": told("doc", home["null"] > 0), "mark": told("mark"), "n": told("n"), "set1": told("set1"), "set2": told("set2"), "entries": entries})
 
 
 def _linked(na: Column, nb: Column, overlap: Column, percent: int) -> Column:
@@ -149,26 +158,26 @@ def _linked(na: Column, nb: Column, overlap: Column, percent: int) -> Column:
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id, first for each row of `documents` (doc_id, text; other columns are not
+    """uid, doc_id, mark, n_shingles, component_id, first for each row of `documents` (doc_id, text; other columns are not
     read). A row's set is its distinct k-word shingles (lower-cased A-Z, words between white space); with fewer words, all
     of them as one; null and blank texts have an empty set and meet nobody. Two rows link when `percent` of their union
     is shared; component_id is the smallest doc_id reachable by links. Rows with equal ids stay apart (uid tells them
-    apart, in the order read); null ids come last and never name a component that has another. `first` marks one row of each
+    apart in this result alone, common.mark of the text in any table); null ids come last and never name a component that has another. `first` marks one row of each
     component: the smallest doc_id's, then the smallest uid's."""
     spark = documents.sparkSession
     small_batches(spark)
     folder = shared_dir(spark)
-    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark(F.col("text")).alias("mark"))
     # words are at least a byte and a space, so this bounds a block's entries
     letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(48, letters // (7 * BLOCK)))
-    blobs = rows.mapInArrow(_blobs(k, blocks), "block int, blob binary").withColumn("blocks", F.lit(blocks))
+    blobs = rows.mapInArrow(_blobs(k, blocks), "block int, blob binary")
     entries = blobs.groupBy("block").applyInArrow(_block, _ENTRIES)
-    whole = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n", "set1", "set2")]
+    whole = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "mark", "n", "set1", "set2")]
     all_rows = entries.groupBy("uid").agg(*whole, F.flatten(F.collect_list("entries")).alias("entries"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     fit = (F.size("entries") >= need) & (F.col("n") > 0)
-    kept = written(all_rows.select("uid", "doc_id", "n", "set1", "set2", F.when(fit, F.array_sort("entries")).alias("entries")), f"{folder}/rows")
+    kept = written(all_rows.select("uid", "doc_id", "mark", "n", "set1", "set2", F.when(fit, F.array_sort("entries")).alias("entries")), f"{folder}/rows")
     fits = kept.where(F.col("entries").isNotNull())
     same = ["n", "set1", "set2"]
     classes = written(fits.groupBy(*same).agg(F.min("uid").alias("c")), f"{folder}/classes")
@@ -221,7 +230,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         grouped = grouped.withColumnRenamed("c", "root")
     least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least"))
     named = grouped.join(least, "root").select("uid", F.col("least.doc_id").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("first"))
-    return kept.select("uid", "doc_id", F.col("n").alias("n_shingles")).join(named, "uid", "left").select("uid", "doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return kept.select("uid", "doc_id", "mark", F.col("n").alias("n_shingles")).join(named, "uid", "left").select("uid", "doc_id", "mark", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def oracle(k: int = 4, percent: int = 85) -> str:
