@@ -61,9 +61,9 @@ this work.""",
 #: What a line of a candidate block says; lines between two that still belong to one block, and by which a block is widened.
 _HINT = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|disclaim|public domain|creative commons|free software", re.I)
 GAP = 3
-#: Characters of a window over a longer block, half of which the next one shares; templates that are confirmed, by reduction;
-#: share of a template's words that must stand in the block; blocks that a worker remembers.
-WINDOW, RANKED, CONFIRMED, REMEMBERED = 1 << 13, 4, 0.9, 100_000
+#: Characters of a window over a longer block, half of which the next one shares; share of a template's words that must stand
+#: in the block; blocks that a worker remembers.
+WINDOW, CONFIRMED, REMEMBERED = 1 << 13, 0.9, 100_000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -126,7 +126,7 @@ class Scanner:
         """Confirmed templates of a block, by reduction."""
         if (got := self.memory.get(block)) is None:
             got = []
-            for saved, name in self.reductions(block)[:RANKED]:
+            for saved, name in self.reductions(block):
                 if saved > 0:
                     similarity, missing, added = self.wording(name, block)
                     if similarity >= CONFIRMED and added <= missing + len(self.words[name]) // 10:
