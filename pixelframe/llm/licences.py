@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,13 +59,14 @@ purpose, commercial or non-commercial, and by any means.""",
     "CC0-1.0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
 this work.""",
 }
-#: What a line of a candidate block says; lines between two that still belong to one block, and by which a block is widened.
-_HINT = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|disclaim|public domain|creative commons|free software", re.I)
+#: What a candidate block says, also across the end of a line; lines between two that still belong to one block.
+_HINT = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|disclaim|public\W+domain|creative\W+commons|free\W+software", re.I)
 GAP = 3
 #: Characters of a window over a longer block, half of which the next one shares; share of a template's words that must stand
 #: in the block; blocks that a worker remembers.
 WINDOW, CONFIRMED, REMEMBERED = 1 << 13, 0.9, 100_000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_ANY_CASE = re.compile(_WORD.pattern, re.I)
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,11 @@ class Match:
     added: int  # words of the block between those that do
 
 
+def reach(n: int) -> int:
+    """Words that n of a template may stand among: a tenth may be added, and others only in the place of missing ones."""
+    return n + n // 10
+
+
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -83,10 +90,11 @@ def plain(text: str) -> str:
 def blocks(text: str | None) -> list[tuple[str, str]]:
     """Runs of lines that begin and end with a hint, with at most GAP other lines between two; and each widened by as many
     lines on either side."""
-    if not text or not _HINT.search(text):
+    hints = list(_HINT.finditer(text or ""))
+    if not hints:
         return []
-    lines = text.split("\n")
-    hinted = [i for i, line in enumerate(lines) if _HINT.search(line)]
+    lines, ends = text.split("\n"), [m.start() for m in re.finditer("\n", text)]
+    hinted = sorted({bisect_left(ends, k) for m in hints for k in (m.start(), m.end() - 1)})
     found, begin = [], hinted[0]
     for at, after in zip(hinted, [*hinted[1:], None], strict=True):
         if after is None or after - at > GAP + 1:
@@ -95,6 +103,28 @@ def blocks(text: str | None) -> list[tuple[str, str]]:
     return found
 
 
+LONGEST = max(len(_WORD.findall(plain(t))) for t in TEMPLATES.values())
+
+
+def areas(text: str | None) -> list[str]:
+    """What templates are looked for in: the words around each hint, on either side as many as the longest template may
+    take, however the lines are wrapped; areas that meet are one."""
+    hints = list(_HINT.finditer(text or ""))
+    if not hints:
+        return []
+    words = [m.span() for m in _ANY_CASE.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    found: list[list[int]] = []
+    for m in hints:
+        first = max(0, bisect_right(ends, m.start()) - reach(LONGEST))
+        last = min(len(words), bisect_left(begins, m.end()) + reach(LONGEST))
+        if found and first <= found[-1][1]:
+            found[-1][1] = last
+        else:
+            found.append([first, last])
+    return [plain(text[begins[a] : ends[b - 1]]) for a, b in found]
+
+
 def windows(block: str) -> list[str]:
     if len(block) <= WINDOW:
         return [block]
@@ -160,7 +190,7 @@ def scan(documents: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64()), ("similarity", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())]))
         for batch in batches:
             found = [blocks(t.as_py()) for t in batch.column("text")]
-            matches = [[vars(m) for b in bs for m in scanner.scan_block(*b)] for bs in found]
+            matches = [[vars(m) for area in areas(t.as_py()) for w in windows(area) for m in scanner.scan(w)] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array([len(b) for b in found], pa.int32()), pa.array(matches, kind)], names=["uid", "doc_id", "n_blocks", "matches"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

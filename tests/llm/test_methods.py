@@ -224,6 +224,35 @@ def test_licences_found():
         assert all(not scanner.scan_block(*b) for b in licences.blocks(other))
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain."""
+
+
+def test_licences_wrapped(prose):
+    import textwrap
+
+    scanner = licences.Scanner()
+
+    def found(text):
+        around = f"{prose(300, 1)}\n{text}\n{prose(300, 2)}"
+        return {m.license for area in licences.areas(around) for m in scanner.scan(area)}
+
+    assert "Unlicense" in found(UNLICENSE)
+    for name, text in licences.TEMPLATES.items():
+        for width in (40, 50, 60, 72, 80):
+            for indent in ("", "# "):
+                assert name in found(textwrap.fill(text, width, initial_indent=indent, subsequent_indent=indent)), (name, width)
+    assert len(licences.areas(f"license {prose(300, 1)} copyright {prose(20, 2)} warranty")) == 2 and licences.areas(prose(50, 1)) == []
+
+
 def test_licence_blocks():
     gap = "\n".join(["copyright a", *["x " * 20] * licences.GAP, "license b", *["y " * 20] * (licences.GAP + 1), "warranty c"])
     assert [b[:9] + "|" + b[-9:] for b, _ in licences.blocks(gap)] == ["copyright|license b", "warranty |arranty c"] and licences.blocks(gap)[1][1].startswith("y y")
