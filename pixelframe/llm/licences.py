@@ -6,7 +6,8 @@ from __future__ import annotations
 import difflib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -62,9 +63,9 @@ this work.""",
 #: What a candidate block says, also across the end of a line; lines between two that still belong to one block.
 _HINT = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|disclaim|public\W+domain|creative\W+commons|free\W+software", re.I)
 GAP = 3
-#: Characters of a window over a longer block, half of which the next one shares; share of a template's words that must stand
-#: in the block; blocks that a worker remembers.
-WINDOW, CONFIRMED, REMEMBERED = 1 << 13, 0.9, 100_000
+#: Parts of a window over anything longer, half of which the next one shares, where nothing else is said; a template's windows,
+#: in its lengths; share of a template's words that must stand there.
+WINDOW, LENGTHS, CONFIRMED = 1 << 13, 4, 0.9
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _ANY_CASE = re.compile(_WORD.pattern, re.I)
 
@@ -125,10 +126,11 @@ def areas(text: str | None) -> list[str]:
     return [plain(text[begins[a] : ends[b - 1]]) for a, b in found]
 
 
-def windows(block: str) -> list[str]:
-    if len(block) <= WINDOW:
+def windows(block: Sequence, size: int = WINDOW, shared: int = WINDOW // 2) -> list[Sequence]:
+    """Parts of `size`, of which the next one shares `shared`."""
+    if len(block) <= size:
         return [block]
-    return [block[a : a + WINDOW] for a in range(0, len(block) - WINDOW // 2, WINDOW // 2)]
+    return [block[a : a + size] for a in range(0, len(block) - shared, size - shared)]
 
 
 class Scanner:
@@ -136,13 +138,17 @@ class Scanner:
         self.words = {k: _WORD.findall(plain(t)) for k, t in templates.items()}
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(plain(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
-        self.memory: dict[str, list[Match]] = {}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
 
-    def reductions(self, block: str) -> list[tuple[float, str]]:
-        """The templates by what they save, most first, ties by name."""
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / size, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+    def saved(self, name: str, text: str) -> float:
+        """Share of the text's compressed size that the template saves."""
+        data = text.encode("utf-8", "surrogatepass")
+        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+
+    def possible(self, name: str, have: list[str]) -> bool:
+        """Whether enough of the template's words are there in any order."""
+        there = Counter(have)
+        return sum(min(n, there[w]) for w, n in self.counts[name].items()) >= CONFIRMED * len(self.words[name])
 
     def wording(self, name: str, block: str) -> tuple[float, int, int]:
         """Similarity, missing and added words of the template in the block."""
@@ -153,26 +159,28 @@ class Scanner:
         return held / max(len(want), 1), len(want) - held, added
 
     def scan(self, block: str) -> list[Match]:
-        """Confirmed templates of a block, by reduction."""
-        if (got := self.memory.get(block)) is None:
-            got = []
-            for saved, name in self.reductions(block):
-                if saved > 0:
-                    similarity, missing, added = self.wording(name, block)
-                    if similarity >= CONFIRMED and added <= missing + len(self.words[name]) // 10:
-                        got.append(Match(name, saved, similarity, missing, added))
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[block] = got
-        return got
-
+        """Confirmed templates of a block, by reduction: that of a window of a few times the template's length, so that its size
+        says something. Windows that lack too many of a template's words to be confirmed are not compressed with it."""
+        spans = [m.span() for m in _WORD.finditer(block)]
+        have, ranked = [block[a:b] for a, b in spans], []
+        for name, want in self.words.items():
+            if self.possible(name, have):
+                for w in windows(range(len(have)), LENGTHS * len(want), reach(len(want))):
+                    if self.possible(name, have[w.start : w.stop]):
+                        ranked.append((-self.saved(name, block[spans[w.start][0] : spans[w.stop - 1][1]]), name, w))
+        best: dict[str, Match] = {}
+        for less, name, w in sorted(ranked, key=lambda x: (x[0], x[1], x[2].start)):
+            similarity, missing, added = self.wording(name, " ".join(have[w.start : w.stop]))
+            if similarity >= CONFIRMED and added <= missing + len(self.words[name]) // 10 and (name not in best or similarity > best[name].similarity):
+                best[name] = Match(name, -less, similarity, missing, added)
+        return sorted(best.values(), key=lambda m: (-m.reduction, m.license))
 
     def scan_block(self, block: str, wide: str) -> list[Match]:
         """Confirmed templates of a block; of the wider one where none stands whole in the block and more stands there."""
-        found = [m for w in windows(block) for m in self.scan(w)]
+        found = self.scan(block)
         if any(m.missing == 0 for m in found):
             return found
-        more = [m for w in windows(wide) for m in self.scan(w)]
+        more = self.scan(wide)
         return max(found, more, key=lambda ms: max((m.similarity for m in ms), default=0.0))
 
 
@@ -190,7 +198,7 @@ def scan(documents: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64()), ("similarity", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())]))
         for batch in batches:
             found = [blocks(t.as_py()) for t in batch.column("text")]
-            matches = [[vars(m) for area in areas(t.as_py()) for w in windows(area) for m in scanner.scan(w)] for t in batch.column("text")]
+            matches = [[vars(m) for area in areas(t.as_py()) for m in scanner.scan(area)] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array([len(b) for b in found], pa.int32()), pa.array(matches, kind)], names=["uid", "doc_id", "n_blocks", "matches"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

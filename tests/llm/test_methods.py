@@ -253,6 +253,15 @@ def test_licences_wrapped(prose):
     assert len(licences.areas(f"license {prose(300, 1)} copyright {prose(20, 2)} warranty")) == 2 and licences.areas(prose(50, 1)) == []
 
 
+@pytest.mark.parametrize("size", [100, 600, 1300])
+def test_licences_in_long_lines(prose, size):
+    scanner = licences.Scanner()
+    for name, text in licences.TEMPLATES.items():
+        line = f"{prose(size, 1)} license {prose(size // 9, 3)} {' '.join(text.split())} {prose(size // 9, 4)} license {prose(size, 2)}"
+        assert name in {m.license for m in scanner.scan(licences.plain(line))}, name
+        assert name in {m.license for area in licences.areas(line) for m in scanner.scan(area)}, name
+
+
 def test_licence_blocks():
     gap = "\n".join(["copyright a", *["x " * 20] * licences.GAP, "license b", *["y " * 20] * (licences.GAP + 1), "warranty c"])
     assert [b[:9] + "|" + b[-9:] for b, _ in licences.blocks(gap)] == ["copyright|license b", "warranty |arranty c"] and licences.blocks(gap)[1][1].startswith("y y")
