@@ -145,43 +145,68 @@ class Scanner:
         data = text.encode("utf-8", "surrogatepass")
         return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
 
-    def possible(self, name: str, have: list[str]) -> bool:
+    def possible(self, name: str, there: Counter) -> bool:
         """Whether enough of the template's words are there in any order."""
-        there = Counter(have)
         return sum(min(n, there[w]) for w, n in self.counts[name].items()) >= CONFIRMED * len(self.words[name])
 
-    def wording(self, name: str, block: str) -> tuple[float, int, int]:
-        """Similarity, missing and added words of the template in the block."""
-        want, have = self.words[name], _WORD.findall(block)
+    def wording(self, name: str, have: list[str]) -> tuple[int, int, int, int, bool]:
+        """Where the template's words stand among `have`, from and to; missing and added words; whether that confirms it. A
+        run of words at either end that is further off than it is long goes where it is in the way."""
+        want = self.words[name]
         same = [m for m in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-        held = sum(m.size for m in same)
-        added = same[-1].b + same[-1].size - same[0].b - held if same else 0
-        return held / max(len(want), 1), len(want) - held, added
+        while same:
+            begin, end, held = same[0].b, same[-1].b + same[-1].size, sum(m.size for m in same)
+            missing, added = len(want) - held, end - begin - held
+            if held < CONFIRMED * len(want) or added <= missing + len(want) // 10:
+                return begin, end, missing, added, held >= CONFIRMED * len(want)
+            far = [(y.b - x.b - x.size - (y.a - x.a - x.size) - m.size, k) for k, m, x, y in ((0, same[0], *same[:2]), (-1, same[-1], *same[-2:]))] if len(same) > 1 else []
+            if not far or max(far)[0] <= 0:
+                return begin, end, missing, added, False
+            del same[max(far)[1]]
+        return 0, 0, len(want), 0, False
+
+    def places(self, name: str, have: list[str], begin: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+        """From, to, missing and added words of each time that the template stands in have[begin:end]."""
+        parts = [(begin, end)]
+        while parts:
+            begin, end = parts.pop()
+            if begin < end and self.possible(name, Counter(have[begin:end])):
+                a, b, missing, added, confirmed = self.wording(name, have[begin:end])
+                if confirmed:
+                    yield begin + a, begin + b, missing, added
+                else:  # what stands there may keep another from being seen
+                    m = difflib.SequenceMatcher(None, self.words[name], have[begin:end], autojunk=False).find_longest_match()
+                    a, b = m.b, m.b + m.size
+                parts += [(begin, begin + a), (begin + b, end)]
 
     def scan(self, block: str) -> list[Match]:
-        """Confirmed templates of a block, by reduction: that of a window of a few times the template's length, so that its size
-        says something. Windows that lack too many of a template's words to be confirmed are not compressed with it."""
+        """Each time that a template stands in a block, by reduction: that of a window of a few times the template's length, so
+        that its size says something. Windows that lack too many of a template's words to be confirmed are not compressed
+        with it. Of what overlaps for one template, the best counts."""
         spans = [m.span() for m in _WORD.finditer(block)]
         have, ranked = [block[a:b] for a, b in spans], []
+        there = Counter(have)
         for name, want in self.words.items():
-            if self.possible(name, have):
+            if self.possible(name, there):
                 for w in windows(range(len(have)), LENGTHS * len(want), reach(len(want))):
-                    if self.possible(name, have[w.start : w.stop]):
-                        ranked.append((-self.saved(name, block[spans[w.start][0] : spans[w.stop - 1][1]]), name, w))
-        best: dict[str, Match] = {}
-        for less, name, w in sorted(ranked, key=lambda x: (x[0], x[1], x[2].start)):
-            similarity, missing, added = self.wording(name, " ".join(have[w.start : w.stop]))
-            if similarity >= CONFIRMED and added <= missing + len(self.words[name]) // 10 and (name not in best or similarity > best[name].similarity):
-                best[name] = Match(name, -less, similarity, missing, added)
-        return sorted(best.values(), key=lambda m: (-m.reduction, m.license))
+                    if self.possible(name, Counter(have[w.start : w.stop])):
+                        ranked.append((self.saved(name, block[spans[w.start][0] : spans[w.stop - 1][1]]), name, w))
+        ranked.sort(key=lambda x: (-x[0], x[1], x[2].start))
+        found = [(missing, added, -saved, name, a, b) for saved, name, w in ranked for a, b, missing, added in self.places(name, have, w.start, w.stop)]
+        taken: dict[str, list[tuple[int, int]]] = {}
+        matches = []
+        for missing, added, less, name, a, b in sorted(found):
+            others = taken.setdefault(name, [])
+            k = bisect_left(others, (a, b))
+            if (k == 0 or others[k - 1][1] <= a) and (k == len(others) or b <= others[k][0]):
+                others.insert(k, (a, b))
+                matches.append((Match(name, -less, 1 - missing / max(len(self.words[name]), 1), missing, added), a))
+        return [m for m, _ in sorted(matches, key=lambda x: (-x[0].reduction, x[0].license, x[1]))]
 
     def scan_block(self, block: str, wide: str) -> list[Match]:
-        """Confirmed templates of a block; of the wider one where none stands whole in the block and more stands there."""
-        found = self.scan(block)
-        if any(m.missing == 0 for m in found):
-            return found
-        more = self.scan(wide)
-        return max(found, more, key=lambda ms: max((m.similarity for m in ms), default=0.0))
+        """What stands in the wider block, and of the block those templates that don't."""
+        found = self.scan(wide)
+        return found + [m for m in self.scan(block) if m.license not in {f.license for f in found}]
 
 
 _FOUND = "uid long, doc_id long, n_blocks int, matches array<struct<license:string,reduction:double,similarity:double,missing:int,added:int>>"

@@ -262,6 +262,27 @@ def test_licences_in_long_lines(prose, size):
         assert name in {m.license for area in licences.areas(line) for m in scanner.scan(area)}, name
 
 
+def test_licences_together(prose):
+    scanner = licences.Scanner()
+    gpl = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+    grant = "Permission" + licences.TEMPLATES["MIT"].split("Permission", 1)[1]
+    statement = licences.TEMPLATES["MIT-statement"]
+    for first, second, want in ((statement, gpl, {"MIT-statement", "GPL-2.0"}), (statement, grant, {"MIT-statement", "MIT"})):
+        text = f"{first}\n\n{second}"
+        (block,) = licences.blocks(text)
+        assert want <= {m.license for m in scanner.scan_block(*block)}
+        assert want <= {m.license for area in licences.areas(text) for m in scanner.scan(area)}
+        assert all(m.missing == 0 for m in scanner.scan_block(*block) if m.license in want)
+    for between in (0, 3, 12, 40, 300):
+        text = f"{statement} {prose(between, 1)} {statement} {prose(between, 2)} {gpl} {prose(between, 3)} {statement} program this released"
+        found = [m for area in licences.areas(text) for m in scanner.scan(area)]
+        assert sum(m.license == "MIT-statement" for m in found) == 3 and sum(m.license == "GPL-2.0" for m in found) == 1
+    assert [m.missing for m in scanner.scan(licences.plain(f"permission {prose(60, 1)} {grant.split(maxsplit=1)[1]}")) if m.license == "MIT"] == [1]
+
+
 def test_licence_blocks():
     gap = "\n".join(["copyright a", *["x " * 20] * licences.GAP, "license b", *["y " * 20] * (licences.GAP + 1), "warranty c"])
     assert [b[:9] + "|" + b[-9:] for b, _ in licences.blocks(gap)] == ["copyright|license b", "warranty |arranty c"] and licences.blocks(gap)[1][1].startswith("y y")
