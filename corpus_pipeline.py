@@ -43,7 +43,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What a trainer reads: the ids of each text."""
-    rows = sentencepiece.encode(docs, piece_model())
+    rows = sentencepiece.encode(docs, piece_model(), own_rule=True)
     return rows.select("doc_id", "ids", "n_tokens", "ids_sha256", "round_trip")
 
 

@@ -45,7 +45,7 @@ def piece_model() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode(table(spark, sf_dir, "documents"), piece_model(), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), piece_model(), keep_ids=False, own_rule=True).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

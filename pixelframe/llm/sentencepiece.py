@@ -1,6 +1,8 @@
-"""SentencePiece encoding and decoding with a model's pieces and scores: the segmentation of the largest total score.
+"""SentencePiece encoding and decoding with a model's pieces and scores: by the merges of a BPE model, or the segmentation of
+the largest total score, which is the rule of unigram models.
 
-A text longer than a few chunks is cut anywhere. A chunk yields a transfer matrix in the max-plus semiring: the best
+Merges never cross two neighbours that no piece holds, so the parts between such places are merged apart, and longer texts are
+cut at them. For the largest total there may be no such place near by. A text longer than a few chunks is cut anywhere. A chunk yields a transfer matrix in the max-plus semiring: the best
 score from each number of its first characters that a piece from the left covers to each number of characters beyond its
 end that its last piece covers. The matrices of a document combine associatively, give the states at the cuts, and then
 each chunk is traced back by itself, from state to state. Scores are integers whose low bits are pseudo-random, by piece and
@@ -10,9 +12,10 @@ place in the word, so sums don't depend on the order of addition and two segment
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +41,14 @@ _loaded: dict[str, Pieces] = {}
 class _Memory(dict):
     """The ids of words, as bytes."""
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, ids_of: Callable[[str], list[int]]):
         super().__init__()
-        self.pieces = pieces
+        self.ids_of = ids_of
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        got = self[word] = _bytes(self.pieces.word(word)[0])
+        got = self[word] = _bytes(self.ids_of(word))
         return got
 
 
@@ -53,6 +56,39 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes() if len(ids) > 8 else struct.pack(f"<{len(ids)}i", *ids)
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = number(at)
+        value, end = number(at) if tag & 7 in (0, 2) else (0, at + (4 if tag & 7 == 5 else 8))
+        if tag & 7 == 2:
+            at, end = end, end + value
+        yield tag >> 3, value if tag & 7 == 0 else raw[at:end]
+        at = end
+
+
+def is_bpe(path: str) -> bool:
+    """Whether the model says that its pieces are to be merged."""
+    with open(path, "rb") as f:
+        return any(k == 2 and dict(_fields(v)).get(3) == 2 for k, v in _fields(f.read()))
+
+
+def _types(path: str) -> set[int]:
+    """The types that pieces have."""
+    with open(path, "rb") as f:
+        return {dict(_fields(v)).get(3, 1) for k, v in _fields(f.read()) if k == 1}
+
+
 class Pieces:
     """The vocabulary of a .model file."""
 
@@ -89,7 +125,13 @@ class Pieces:
         self.content = [b"" if model.is_control(i) or model.is_unknown(i) else name.encode() for i, name in enumerate(self.names)]
         for b, i in enumerate(self.byte_ids):
             self.content[i] = bytes([b])
-        self.memory = _Memory(self)
+        self.memory = _Memory(lambda word: self.word(word)[0])
+        #: What merging makes, by rank: the order of scores, the highest first.
+        order = {s: k for k, s in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
+        self.ranks = {self.names[i]: order[scores[i]] for i in normal}
+        self.ids = {self.names[i]: i for i in normal}
+        self.merged = _Memory(self.merge)
+        self.plain_types = _types(path) <= {1, 2, 3, 6}
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -182,9 +224,36 @@ class Pieces:
             at = back[at]
         return self.spelled(text, found[::-1]), score[n]
 
-    def encode(self, text: str | None) -> bytes:
+    def merge(self, text: str) -> list[int]:
+        """Ids of a part by merges: of the neighbours that make a piece, those of the highest score, the leftmost first."""
+        if not self.plain_types:
+            raise ValueError("merges aren't read with pieces that are unused or the user's")
+        ranks, n = self.ranks, len(text)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at each place; 0: none does
+        heap = [(rank, k, k + 2) for k in range(n - 1) if (rank := ranks.get(text[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, a, c = heapq.heappop(heap)
+            b = ends[a]
+            # both symbols must still be those that the entry was made of
+            if not b or b >= c or ends[b] != c:
+                continue
+            ends[a], ends[b] = c, 0
+            if c < n:
+                before[c] = a
+                if (rank := ranks.get(text[a : ends[c]])) is not None:
+                    heapq.heappush(heap, (rank, a, ends[c]))
+            if a and (rank := ranks.get(text[before[a] : c])) is not None:
+                heapq.heappush(heap, (rank, before[a], c))
+        found, at = [], 0
+        while at < n:
+            found.append((at, ends[at], self.ids.get(text[at : ends[at]], -1)))
+            at = ends[at]
+        return self.spelled(text, found)
+
+    def encode(self, text: str | None, merges: bool = False) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        memory = self.memory
+        memory = self.merged if merges else self.memory
         return b"".join([memory[part] for part in self.segments(normalise(text or ""))])
 
     def decode(self, ids: bytes) -> str:
@@ -230,6 +299,17 @@ def cut(text: str, size: int, pieces: Pieces) -> Iterator[tuple[str, int, int]]:
         yield text[c : c + size + pieces.longest], min(size, len(text) - c), c - word
 
 
+def cut_apart(text: str, size: int, pieces: Pieces) -> Iterator[str]:
+    """Parts of a normalised text that no merge crosses, of `size` characters or up to the next such place."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end - 1 : end + 1] in pieces.pairs:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product of matrices; associative."""
     return np.maximum((a[:, :, None] + b[None]).max(1), _NONE)
@@ -269,13 +349,13 @@ def _table(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)]
 
 
-def _whole(path: str, keep: bool):
+def _whole(path: str, keep: bool, merges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
         for batch in batches:
             rows = []
             for uid, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows.append((uid, doc_id, *_row(pieces, text, pieces.encode(text), keep)))
+                rows.append((uid, doc_id, *_row(pieces, text, pieces.encode(text, merges), keep)))
                 if len(rows) == 256:
                     yield pa.RecordBatch.from_arrays(_table(rows), names=_NAMES)
                     rows = []
@@ -296,6 +376,27 @@ def _cut(path: str):
     return run
 
 
+def _cut_apart(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.of(path)
+        for batch in batches:
+            for uid, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for c, part in enumerate(cut_apart(normalise(text), CHUNK, pieces)):
+                    yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([doc_id], pa.int64()), pa.array([c], pa.int64()), pa.array([part], pa.string()), pa.array([len(part)], pa.int64())], names=["uid", "doc_id", "chunk", "text", "n"])
+
+    return run
+
+
+def _merged(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.of(path)
+        for batch in batches:
+            found = [b"".join([pieces.merged[part] for part in pieces.segments(text)]) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "ids"])
+
+    return run
+
+
 def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
@@ -335,17 +436,22 @@ def _joined(path: str, keep: bool):
     return run
 
 
-def encode(documents: DataFrame, model: str, keep_ids: bool = True, giant: int = GIANT) -> DataFrame:
+def encode(documents: DataFrame, model: str, keep_ids: bool = True, giant: int = GIANT, own_rule: bool = False) -> DataFrame:
     """uid, doc_id, ids, n_tokens, ids_sha256, round_trip for each row of `documents` (doc_id, text; nothing else is read).
-    ids are those of the largest total score under the pieces of the file `model`, which all executors have; characters
-    without a piece become bytes. ids_sha256 is over them as little-endian 32-bit numbers; round_trip says whether they
+    ids are those of the largest total score under the pieces of the file `model`, which all executors have; with `own_rule`
+    those that the library gives for the model, which are others if it is a BPE model. Characters without a piece become bytes. ids_sha256 is over them as little-endian 32-bit numbers; round_trip says whether they
     decode to the text again (a text that holds U+2581 reads a space there). Null and empty texts have no ids. Rows with
     equal ids are encoded apart; uid numbers them in the order read. Texts of more than `giant` characters go in chunks."""
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.length("text") > giant, F.lit(False))
-    whole = rows.where(~long).mapInArrow(_whole(model, keep_ids), _ENCODED)
+    merges = own_rule and is_bpe(model)
+    whole = rows.where(~long).mapInArrow(_whole(model, keep_ids, merges), _ENCODED)
+    if merges:
+        parts = rows.where(long).mapInArrow(_cut_apart(model), "uid long, doc_id long, chunk long, text string, n long").repartition("uid", "chunk")
+        found = parts.mapInArrow(_merged(model), "uid long, doc_id long, chunk long, text string, n long, ids binary")
+        return whole.unionByName(found.groupBy("uid").applyInArrow(_joined(model, keep_ids), _ENCODED))
     chunks = written(rows.where(long).mapInArrow(_cut(model), "uid long, doc_id long, chunk long, n long, place long, text string"), f"{shared_dir(spark)}/chunks")
     matrices = chunks.mapInArrow(_matrices(model), "uid long, chunk long, matrix binary")
     states = matrices.groupBy("uid").applyInArrow(_states, "uid long, chunk long, start long, end long")

@@ -192,6 +192,29 @@ def test_segmentations(unigram, spark):
         assert pieces.decode(pieces.encode(text)) == text == unigram.decode(ids)
 
 
+def test_merges(spark, prose):
+    """The registered model is BPE: its ids are the library's, of whole texts and of texts in parts."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=piece_model())
+    pieces = sentencepiece.Pieces.of(piece_model())
+    assert sentencepiece.is_bpe(piece_model())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect()]
+    texts += ["", " ", "  a  b ", "a" * 5000, "ab" * 3000, " " * 500, "\x00\x01 x\n\ty", "é中\U0001f600 " * 30, "thetheand$$$$$ 1,234.50 " * 20, "a▁b"]
+    for text in texts:
+        assert np.frombuffer(pieces.encode(text, merges=True), "<i4").tolist() == library.encode(text)
+        for size in (3, 100):
+            parts = sentencepiece.cut_apart(sentencepiece.normalise(text[:2000]), size, pieces)
+            assert [i for p in parts for s in pieces.segments(p) for i in pieces.merge(s)] == library.encode(text[:2000])
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    for giant in (1 << 16, 50):
+        got = {r.doc_id: r for r in sentencepiece.encode(rows, piece_model(), giant=giant, own_rule=True).collect()}
+        assert len(got) == len(texts) + 1 and all(got[k].ids == library.encode(t) and got[k].n_tokens == len(got[k].ids) for k, t in enumerate(texts))
+        assert got[len(texts)].ids == [] and all(r.round_trip for k, r in got.items() if k != len(texts) - 1)
+    want = {r.doc_id: library.encode(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in queries()["op6_sentencepiece"](spark, "/root/testdata/sf0.001").collect()} == {k: len(v) for k, v in want.items()}
+
+
 @pytest.mark.parametrize("size", [1, 3, 17, 100])
 def test_chunks(size, prose):
     pieces = sentencepiece.Pieces.of(piece_model())
