@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelframe.llm import decontaminate, jaccard, quality, sentencepiece, toxicity
@@ -11,11 +11,13 @@ from pixelframe.llm.queries import piece_model
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs that `decided` has by id and text; equal ones once."""
+    """The rows of docs that `decided` has by id and text: of equal ones as many as it has."""
     id_ = F.col("doc_id").cast("long")
     key = [F.coalesce(id_, F.lit(0)).alias("k"), id_.isNull().alias("no_id")]
     rows = docs.select(F.struct("*").alias("row"), *key, mark(F.col("text")).alias("mark"))
-    return rows.join(decided.select(*key, "mark"), ["k", "no_id", "mark"], "left_semi").dropDuplicates(["k", "no_id", "mark"]).select("row.*")
+    times = decided.select(*key, "mark").groupBy("k", "no_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    nth = F.row_number().over(Window.partitionBy("k", "no_id", "mark").orderBy("mark"))
+    return rows.join(times, ["k", "no_id", "mark"]).withColumn("nth", nth).where(F.col("nth") <= F.col("times")).select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -344,3 +344,15 @@ def test_pipeline(spark):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     clean = pipeline.clean(spark, docs, "/root/testdata/sf0.001")
     assert clean.join(queries()["op10_decontamination"](spark, "/root/testdata/sf0.001").where("contaminated"), "doc_id").isEmpty()
+
+
+def test_pipeline_keeps_rows_without_ids_or_texts(spark, prose):
+    import corpus_pipeline as pipeline
+
+    text = prose(60, 1)
+    rows = [(None, None, "a"), (None, None, "b"), (None, "", "c"), (5, None, "d"), (5, "", "e"), (7, text, "f"), (7, text, "g"), (None, text, "h"), (8, prose(50, 2), "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for stage, sources in ((pipeline.different, "abcdei"), (pipeline.clean, "abcdefghi")):
+        got = sorted(r.source for r in stage(spark, docs, "/root/testdata/sf0.001").collect())
+        assert [x for x in got if x not in "fg" or sources == "abcdefghi"] == list(sources)
+        assert len(got) == len(sources) + (stage is pipeline.different)
