@@ -5,7 +5,7 @@ Merges never cross two neighbours that no piece holds, so the parts between such
 cut at them. For the largest total there may be no such place near by. A text longer than a few chunks is cut anywhere. A chunk yields a transfer matrix in the max-plus semiring: the best
 score from each number of its first characters that a piece from the left covers to each number of characters beyond its
 end that its last piece covers. The matrices of a document combine associatively, give the states at the cuts, and then
-each chunk is traced back by itself, from state to state. Scores are integers whose low bits are pseudo-random, by piece and
+each chunk is traced back by itself, from state to state. Scores are integers, with a fraction in fixed point, whose low bits are pseudo-random, by piece and
 place in the word, so sums don't depend on the order of addition and two segmentations as good as never tie.
 """
 
@@ -104,14 +104,18 @@ class Pieces:
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         low = (mix(np.arange(n, dtype=np.uint64) + np.uint64(1)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
         scores = [max(model.get_score(i), _LOWEST) for i in range(n)]
-        self.unknown = int(round(min([scores[i] for i in normal], default=0) - 10)) << _BITS
+        unknown = min([scores[i] for i in normal], default=0) - 10
+        # as many bits of the fraction as leave the sums of a chunk within 60
+        highest = max([abs(scores[i]) for i in normal] + [abs(unknown)])
+        fraction = 1 << min(20, 60 - _BITS - CHUNK.bit_length() - int(highest).bit_length())
+        self.unknown = int(round(unknown * fraction)) << _BITS
         #: Pieces, and (None) what some piece begins with.
         self.arcs: dict[str, tuple[int, int, int] | None] = {}
         for i in normal:
             for k in range(1, len(self.names[i])):
                 self.arcs.setdefault(self.names[i][:k], None)
         for i in normal:
-            self.arcs[self.names[i]] = (i, int(round(scores[i])) << _BITS, int(low[i]) | 1)
+            self.arcs[self.names[i]] = (i, int(round(scores[i] * fraction)) << _BITS, int(low[i]) | 1)
         self.longest = max((len(self.names[i]) for i in normal), default=1)
         #: Neighbours within some piece; between any others every path has a node.
         self.pairs = {self.names[i][k : k + 2] for i in normal for k in range(len(self.names[i]) - 1)}
@@ -322,11 +326,14 @@ def cut_states(matrices: list[np.ndarray]) -> list[int]:
     def prefixes(m: list[np.ndarray]) -> list[np.ndarray]:
         if len(m) == 1:
             return m
-        pairs = prefixes([product(m[i], m[i + 1]) for i in range(0, len(m) - 1, 2)])
-        return [m[0] if i == 0 else pairs[i // 2] if i % 2 else product(pairs[i // 2 - 1], m[i]) for i in range(len(m))]
+        pairs = prefixes([level_of(product(m[i], m[i + 1])) for i in range(0, len(m) - 1, 2)])
+        return [m[0] if i == 0 else pairs[i // 2] if i % 2 else level_of(product(pairs[i // 2 - 1], m[i])) for i in range(len(m))]
 
-    # a matrix less its largest entry: only differences matter, and sums stay small
-    level = [np.maximum(m - m.max(), _NONE) for m in matrices]
+    def level_of(m: np.ndarray) -> np.ndarray:
+        """A matrix less its largest entry: only differences matter, and sums stay small."""
+        return np.maximum(m - m.max(), _NONE)
+
+    level = [level_of(m) for m in matrices]
     start = np.full(len(level[0]), _NONE, np.int64)
     start[0] = 0
     before = [start, *(p[0] for p in prefixes(level)[:-1])]

@@ -192,6 +192,34 @@ def test_segmentations(unigram, spark):
         assert pieces.decode(pieces.encode(text)) == text == unigram.decode(ids)
 
 
+def test_fractional_scores(tmp_path, prose):
+    """A unigram model's scores are fractions: the total is the library's, also by chunks."""
+    import struct
+
+    from sentencepiece import SentencePieceProcessor
+
+    raw = open(piece_model(), "rb").read()
+    changed = bytearray(raw)
+    rng = np.random.default_rng(3)
+    for k, a, b in fields(raw):
+        for j, c, d in fields(raw[a:b]) if k in (1, 2) else ():
+            if k == 1 and j == 2:
+                changed[a + c : a + d] = struct.pack("<f", -8 - 2 * rng.random())
+            elif k == 2 and j == 3:
+                changed[a + c] = 1
+    path = str(tmp_path / "fractions.model")
+    open(path, "wb").write(bytes(changed))
+    library, pieces = SentencePieceProcessor(model_file=path), sentencepiece.Pieces.of(path)
+    assert not sentencepiece.is_bpe(path)
+    for text in (prose(200, 1), prose(200, 2), "the theory of relativity and other documents " * 5, "中文 x" * 9):
+        ids = np.frombuffer(pieces.encode(text), "<i4").tolist()
+        total, want = (sum(map(library.get_score, x)) for x in (ids, library.encode(text)))
+        assert abs(total - want) < 1e-2
+        chunks = list(sentencepiece.cut(sentencepiece.normalise(text), 17, pieces))
+        states = sentencepiece.cut_states([pieces.transfer(*c) for c in chunks])
+        assert ids == [i for (part, n, place), a, b in zip(chunks, states, states[1:], strict=False) for i in pieces.best(part, n, a, b, place)[0]]
+
+
 def test_merges(spark, prose):
     """The registered model is BPE: its ids are the library's, of whole texts and of texts in parts."""
     from sentencepiece import SentencePieceProcessor
