@@ -1,10 +1,11 @@
-"""Jaccard join of documents over word shingles, as a blocked sparse product of the incidence matrix with its transpose.
+"""Jaccard join of documents over word shingles: blocked counting of columns, then a prefix-filter join whose pairs are each
+verified by intersection, in place of a sparse product of the incidence matrix with its transpose that adds up counts.
 
 Columns (shingles) are dealt into blocks by their hash. A block first counts its columns; only entries in columns of two
 or more rows can add to a product and go on. A row with fewer such entries than its size demands (a partner must share
 85 % of it, say) meets nobody. The others, one for each different set, bring their rarest entries, as many as a partner
-cannot avoid altogether. Products over these columns name the pairs; sizes and the columns that are left bound what a pair
-may share and discard most; the overlap of the others is counted over all columns.
+cannot avoid altogether. A join on these columns names the pairs; sizes and the columns that are left bound what a pair may share
+and discard most; for the others the whole lists of entries are intersected.
 
 Groups are joined without all of their pairs: in each round the rows of a column meet a few of them as hubs and components
 are found; in the end all pairs across components remain, so no link between different components is lost.
