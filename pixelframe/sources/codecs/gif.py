@@ -168,23 +168,44 @@ def _nearest(image: Raster, palette: np.ndarray) -> np.ndarray:
     return best[back.ravel()].reshape(image.shape[:2])
 
 
+class _Places:
+    """The nearest palette entry of colours, each worked out when it first comes."""
+
+    def __init__(self, palette: np.ndarray):
+        self.palette, self.known = palette, np.full(1 << 24, -1, np.int16)
+
+    def of(self, colours: np.ndarray) -> np.ndarray:
+        key = colours[:, 0] << 16 | colours[:, 1] << 8 | colours[:, 2]
+        found = self.known[key]
+        if (found < 0).any():
+            fresh = np.unique(key[found < 0])
+            for part in np.array_split(fresh, -(-len(fresh) // 4096)):
+                apart = np.stack([part >> 16, part >> 8 & 255, part & 255], 1)[:, None] - self.palette[None]
+                self.known[part] = (apart**2).sum(2).argmin(1)
+            found = self.known[key]
+        return found.astype(np.int64)
+
+
 def _dithered(image: Raster, palette: np.ndarray, clear: np.ndarray) -> np.ndarray:
-    """Each pixel's error goes to its neighbours: 7 to the right, 3, 5 and 1 sixteenths below."""
+    """Each pixel's error goes to its neighbours: 7 to the right, 3, 5 and 1 sixteenths below. A pixel needs the one to its left
+    and three above, which lie on the slanted lines x + 2y before its own, so a whole line is one step. Errors come to
+    a pixel in the order of a scan: from above left, above, above right, and the left."""
     h, w = image.shape[:2]
     work = np.zeros((h + 1, w + 2, 3), np.float32)
     work[:h, 1 : w + 1] = image[..., :3]
-    out = np.zeros((h, w), np.int64)
-    for y in range(h):
-        for x in range(w):
-            if clear[y, x]:
-                continue
-            want = np.floor(np.clip(work[y, x + 1], 0, 255).astype(float) + 0.5)
-            out[y, x] = k = int(((palette - want) ** 2).sum(1).argmin())
-            error = want - palette[k]
-            work[y, x + 2] += error * (7 / 16)
-            work[y + 1, x] += error * (3 / 16)
-            work[y + 1, x + 1] += error * (5 / 16)
-            work[y + 1, x + 2] += error * (1 / 16)
+    flat, out, places = work.reshape(-1, 3), np.zeros((h, w), np.int64), _Places(palette)
+    shown, index = ~clear.reshape(-1), out.reshape(-1)
+    for t in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, -(-(t - w + 1) // 2)), min(h - 1, t // 2) + 1)
+        x = t - 2 * y
+        mine = y * w + x
+        y, x, mine = y[shown[mine]], x[shown[mine]], mine[shown[mine]]
+        at = y * (w + 2) + x + 1
+        want = np.floor(np.clip(flat[at], 0, 255).astype(float) + 0.5)
+        index[mine] = k = places.of(want.astype(np.int64))
+        error = want - palette[k]
+        for step, share in ((w + 1, 3), (1, 7), (w + 2, 5), (w + 3, 1)):
+            flat[at + step] += error * (share / 16)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 from array import array
 from dataclasses import dataclass, field
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,10 +21,28 @@ LUMINANCE = (16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14,
 CHROMINANCE = (17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99, *(99,) * 32)
 DC_LUMINANCE = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12)))
 DC_CHROMINANCE = ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), tuple(range(12)))
-#: The AC symbols in order of length; those of the longest codes follow in ascending order.
-_AC = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")), ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), bytes.fromhex("0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f1".replace(" ", "")))
-_ALL = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
-AC_LUMINANCE, AC_CHROMINANCE = ((counts, (*begin, *sorted(set(_ALL) - set(begin)))) for counts, begin in _AC)
+AC_LUMINANCE = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14,
+    0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82, 0x09,
+    0x0A, 0x16, 0x17, 0x18, 0x19, 0x1A, 0x25, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x34, 0x35, 0x36, 0x37, 0x38, 0x39, 0x3A,
+    0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63, 0x64, 0x65,
+    0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7A, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88,
+    0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7, 0xA8, 0xA9,
+    0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA,
+    0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0xD9, 0xDA, 0xE1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA,
+    0xF1, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+))
+AC_CHROMINANCE = ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), (
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32,
+    0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16,
+    0x24, 0x34, 0xE1, 0x25, 0xF1, 0x17, 0x18, 0x19, 0x1A, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x35, 0x36, 0x37, 0x38, 0x39,
+    0x3A, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63, 0x64,
+    0x65, 0x66, 0x67, 0x68, 0x69, 0x6A, 0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7A, 0x82, 0x83, 0x84, 0x85, 0x86,
+    0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7,
+    0xA8, 0xA9, 0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8,
+    0xC9, 0xCA, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0xD9, 0xDA, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9,
+    0xEA, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+))
 
 
 def canonical(counts: tuple[int, ...], symbols: tuple[int, ...]) -> dict[int, tuple[int, int]]:
@@ -153,8 +173,9 @@ def _windows(data: bytes) -> array:
     return array("q", out.tobytes())
 
 
+@lru_cache(32)
 def _lookup(counts: tuple[int, ...], symbols: bytes) -> list[int]:
-    """length << 8 | symbol for every 16 bits that may come."""
+    """length << 8 | symbol for every 16 bits that may come. Most files have the same few tables."""
     table = [0] * 65536
     code = at = 0
     for length, n in enumerate(counts, 1):
@@ -364,10 +385,17 @@ def inverse(blocks: np.ndarray) -> np.ndarray:
 
 
 def reduced_inverse(blocks: np.ndarray, n: int) -> np.ndarray:
-    """Samples of n x n from the lowest frequencies of each block, for n of 1, 2 and 4."""
-    u, x = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-    basis = np.where(u == 0, np.sqrt(0.5), 1.0) * np.cos((2 * x + 1) * u * np.pi / (2 * n))
-    total = np.einsum("vy,...vu,ux->...yx", basis, blocks[..., :n, :n].astype(float), basis)
+    """Samples of n x n from the lowest frequencies of each block, for n of 1, 2 and 4; for 1 a block's mean. One dimension
+    after the other, from the lowest frequency on: halves are rounded as the sums of floats come."""
+    if n == 1:
+        return np.clip((blocks[..., :1, :1] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+    share = np.where(np.arange(n) == 0, np.sqrt(0.5), 1.0)
+    cosine = np.cos((2 * np.arange(n)[:, None] + 1) * np.arange(n) * np.pi / (2 * n))  # (place, frequency)
+    low, rows, total = blocks[..., :n, :n].astype(float), 0.0, 0.0
+    for u in range(n):
+        rows = rows + (share[u] * low[..., u])[..., None] * cosine[:, u]
+    for v in range(n):
+        total = total + (share[v] * rows[..., v, :])[..., None, :] * cosine[:, v, None]
     return np.clip(np.floor(total / 4 + 0.5) + 128, 0, 255).astype(np.uint8)
 
 
@@ -387,7 +415,9 @@ def _smooth_columns(p: np.ndarray, near: int, bias: tuple[int, int], shift: int)
     return out >> shift
 
 
-def upsample(plane: np.ndarray, across: int, down: int) -> np.ndarray:
+def upsample(plane: np.ndarray, across: Fraction | int, down: Fraction | int) -> np.ndarray:
+    """A plane at `across` times its width and `down` times its height. Twice the width, or both, is smooth; at other ratios,
+    whole or not, samples repeat."""
     p = plane.astype(np.int32)
     if (across, down) == (1, 1):
         return p
@@ -400,7 +430,8 @@ def upsample(plane: np.ndarray, across: int, down: int) -> np.ndarray:
         sums = np.empty((2 * len(p), p.shape[1]), np.int32)
         sums[::2], sums[1::2] = 3 * p + above, 3 * p + below
         return _smooth_columns(sums, 4, (8, 7), 4)
-    return p.repeat(down, 0).repeat(across, 1)
+    rows, columns = (np.minimum(np.arange(int(n * by)) * by.denominator // by.numerator, n - 1) for n, by in zip(p.shape, map(Fraction, (down, across)), strict=True))
+    return p[np.ix_(rows, columns)]
 
 
 def _rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray, cut: bool = True) -> np.ndarray:
@@ -422,9 +453,9 @@ def decode(content: bytes, hint: int | None = None) -> Raster:
         samples = inverse(blocks) if n == 8 else reduced_inverse(blocks, n)
         rows, columns = samples.shape[:2]
         plane = samples.swapaxes(1, 2).reshape(rows * n, columns * n)[: -(-c.height * n // 8), : -(-c.width * n // 8)]
-        if top_h % c.h or top_v % c.v:
-            raise UnsupportedFormat(content, "JPEG with fractional sampling is not supported.")
-        planes.append(upsample(plane, top_h // c.h, top_v // c.v)[:height, :width])
+        whole = upsample(plane, Fraction(top_h, c.h), Fraction(top_v, c.v))
+        # rounding may leave the last row or column of a ratio that isn't whole
+        planes.append(np.pad(whole, ((0, max(0, height - whole.shape[0])), (0, max(0, width - whole.shape[1]))), "edge")[:height, :width])
     out = np.full((height, width, 4), 255, np.uint8)
     if len(planes) == 1:
         out[..., :3] = planes[0][..., None]
@@ -454,6 +485,63 @@ def _quantised(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
     return whole.reshape(h // 8, w // 8, 64)[..., ZIGZAG].astype(np.int64)
 
 
+def magnitude(values: np.ndarray) -> np.ndarray:
+    """Bits of the absolute value."""
+    return np.frexp(np.abs(values).astype(float))[1]
+
+
+def _codes(*tables: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Code and length by (table, symbol)."""
+    out = np.zeros((2, len(tables), 256), np.int64)
+    for k, table in enumerate(tables):
+        for symbol, found in canonical(*table).items():
+            out[:, k, symbol] = found
+    return out[0], out[1]
+
+
+def _coded(blocks: np.ndarray, component: np.ndarray) -> bytes:
+    """The scan of blocks (n, 64) in zigzag order; component: 0, 1 or 2 for each. All symbols are found at once, put in order
+    and packed by their places in the stream."""
+    table = (component > 0).astype(np.int64)
+    # differences of the first coefficients, within each component
+    first = np.empty(len(blocks), np.int64)
+    for k in range(3):
+        mine = np.flatnonzero(component == k)
+        first[mine] = np.diff(blocks[mine, 0], prepend=0)
+    block, place = np.nonzero(blocks[:, 1:])
+    value = blocks[block, place + 1]
+    new = np.ones(len(block), bool)
+    new[1:] = block[1:] != block[:-1]
+    run = place - np.where(new, -1, np.concatenate([[0], place[:-1]])) - 1
+    skips = run >> 4  # each stands for 16 zeros
+    many = np.repeat(np.arange(len(block)), skips)
+    short = np.setdiff1d(np.arange(len(blocks)), block[place == 62])
+    size, difference = magnitude(value), magnitude(first)
+    dc, ac = _codes(DC_LUMINANCE, DC_CHROMINANCE), _codes(AC_LUMINANCE, AC_CHROMINANCE)
+
+    def part(kind, of: np.ndarray, symbol: np.ndarray, at: np.ndarray, bits: np.ndarray | int = 0, extra: np.ndarray | int = 0) -> np.ndarray:
+        """Rows of (order, bits, length): a symbol's code with the bits that follow it."""
+        code, length = kind[0][table[of], symbol], kind[1][table[of], symbol]
+        return np.stack([of * 256 + at, code << bits | extra, length + bits])
+
+    low = lambda v, n: np.where(v < 0, v + (1 << n) - 1, v)
+    every = np.arange(len(blocks))
+    found = np.concatenate([part(dc, every, difference, np.zeros(len(blocks), np.int64), difference, low(first, difference)), part(ac, block[many], np.full(len(many), 0xF0), 2 * place[many] + 2), part(ac, block, (run & 15) << 4 | size, 2 * place + 3, size, low(value, size)), part(ac, short, np.zeros(len(short), np.int64), np.full(len(short), 255))], 1)
+    _, bits, length = found[:, np.argsort(found[0], kind="stable")]
+    end = np.cumsum(length)
+    words = np.zeros(int(end[-1]) // 64 + 2, np.uint64)
+    word, left = (end - length) >> 6, 64 - ((end - length) & 63) - length
+    bits = bits.astype(np.uint64)
+    fits = left >= 0
+    np.bitwise_or.at(words, word, np.where(fits, bits << np.maximum(left, 0).astype(np.uint64), bits >> np.maximum(-left, 0).astype(np.uint64)))
+    over = np.flatnonzero(~fits)
+    np.bitwise_or.at(words, word[over] + 1, bits[over] << (64 + left[over]).astype(np.uint64))
+    data = bytearray(words.astype(">u8").tobytes()[: -(-int(end[-1]) // 8)])
+    if end[-1] % 8:
+        data[-1] |= (1 << (8 - int(end[-1]) % 8)) - 1
+    return bytes(data).replace(b"\xff", b"\xff\0")
+
+
 def encode(image: Raster, quality: int = 82, background: tuple[int, ...] = WHITE) -> bytes:
     if not is_integer(quality) or not 1 <= quality <= 100:
         raise InvalidOption("jpeg.quality", quality, "must be an integer from 1 to 100")
@@ -469,51 +557,10 @@ def encode(image: Raster, quality: int = 82, background: tuple[int, ...] = WHITE
         planes.append(p[::2, ::2] + p[::2, 1::2] + p[1::2, ::2] + p[1::2, 1::2] + 2 >> 2)
     tables = [scaled_table(LUMINANCE, int(quality)), scaled_table(CHROMINANCE, int(quality))]
     coefficients = [_quantised(p, tables[k > 0]) for k, p in enumerate(planes)]
-    codes = [[canonical(*t) for t in pair] for pair in ((DC_LUMINANCE, AC_LUMINANCE), (DC_CHROMINANCE, AC_CHROMINANCE))]
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, length: int) -> None:
-        nonlocal held, bits
-        held, bits = held << length | code, bits + length
-        while bits >= 8:
-            bits -= 8
-            byte = held >> bits & 255
-            out.append(byte)
-            if byte == 255:
-                out.append(0)
-        held &= (1 << bits) - 1
-
-    def value(v: int, size: int) -> None:
-        if size:
-            put(v if v >= 0 else v + (1 << size) - 1, size)
-
-    before = [0, 0, 0]
-    units = [(0, y, x) for y in (0, 1) for x in (0, 1)] + [(1, 0, 0), (2, 0, 0)]
-    for my in range(rows // 16):
-        for mx in range(columns // 16):
-            for k, y, x in units:
-                block = coefficients[k][my * 2 + y, mx * 2 + x] if k == 0 else coefficients[k][my, mx]
-                dc, ac = codes[k > 0]
-                v = int(block[0]) - before[k]
-                before[k] = int(block[0])
-                size = abs(v).bit_length()
-                put(*dc[size])
-                value(v, size)
-                last = 0
-                for at in np.flatnonzero(block[1:]) + 1:
-                    run = int(at) - last - 1
-                    while run > 15:
-                        put(*ac[0xF0])
-                        run -= 16
-                    v = int(block[at])
-                    size = abs(v).bit_length()
-                    put(*ac[run << 4 | size])
-                    value(v, size)
-                    last = int(at)
-                if last < 63:
-                    put(*ac[0])
-    if bits:
-        put((1 << (8 - bits)) - 1, 8 - bits)
+    # blocks in the order of the file: four of luminance, then one of each chrominance
+    order = [coefficients[0].reshape(rows // 16, 2, columns // 16, 2, 64).swapaxes(1, 2).reshape(-1, 4, 64)] + [c.reshape(-1, 1, 64) for c in coefficients[1:]]
+    blocks = np.concatenate(order, 1)
+    out = _coded(blocks.reshape(-1, 64), np.tile(np.array([0, 0, 0, 0, 1, 2]), len(blocks)))
     segment = lambda marker, data: struct.pack(">BBH", 255, marker, len(data) + 2) + data
     head = b"\xff\xd8" + segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
     head += segment(0xDB, b"".join(bytes([k]) + tables[k][ZIGZAG].astype(np.uint8).tobytes() for k in (0, 1)))
@@ -521,4 +568,4 @@ def encode(image: Raster, quality: int = 82, background: tuple[int, ...] = WHITE
     huffman = ((0x00, DC_LUMINANCE), (0x10, AC_LUMINANCE), (0x01, DC_CHROMINANCE), (0x11, AC_CHROMINANCE))
     head += segment(0xC4, b"".join(bytes([k]) + bytes(counts) + bytes(symbols) for k, (counts, symbols) in huffman))
     head += segment(0xDA, bytes((3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0)))
-    return head + bytes(out) + b"\xff\xd9"
+    return head + out + b"\xff\xd9"

@@ -286,3 +286,40 @@ def test_webp_without_a_library(monkeypatch):
         assert e.value.code == "CODEC_LOAD_FAILED"
     assert catalog.supported_formats()["pending"] == [] and "webp" not in catalog.supported_formats()["write"] and catalog.supported_formats()["unavailable"][0]["format"] == "webp"
     webp._state.clear()
+
+
+def test_dithering_is_a_scan():
+    """Line by slanted line gives what pixel after pixel does."""
+    rng = np.random.default_rng(7)
+    for h, w in ((1, 1), (1, 9), (9, 1), (2, 3), (13, 8), (8, 13)):
+        image = rng.integers(0, 256, (h, w, 4)).astype(np.uint8)
+        clear, palette = image[..., 3] < 60, rng.integers(0, 256, (5, 3))
+        work, want = np.zeros((h + 1, w + 2, 3), np.float32), np.zeros((h, w), np.int64)
+        work[:h, 1:-1] = image[..., :3]
+        for y in range(h):
+            for x in range(w):
+                if not clear[y, x]:
+                    value = np.floor(np.clip(work[y, x + 1], 0, 255).astype(float) + 0.5)
+                    want[y, x] = k = ((palette - value) ** 2).sum(1).argmin()
+                    for dy, dx, n in ((0, 1, 7), (1, -1, 3), (1, 0, 5), (1, 1, 1)):
+                        work[y + dy, x + 1 + dx] += (value - palette[k]) * (n / 16)
+        assert (gif._dithered(image, palette, clear) == want).all()
+
+
+def test_jpeg_symbols_survive():
+    """Long runs of zeros, full blocks and all sizes: coefficients read back as written."""
+    rng = np.random.default_rng(8)
+    blocks = np.zeros((6 * 4, 64), np.int64)
+    for b in range(len(blocks)):
+        places = rng.choice(64, rng.integers(0, 64), replace=False) if b % 3 else [63] * (b % 2)
+        blocks[b, places] = rng.integers(-900, 900, len(places))
+    blocks[:, 0] = rng.integers(-1000, 1000, len(blocks))
+    blocks[5, 1:] = 1
+    data = jpeg._coded(blocks, np.tile([0, 0, 0, 0, 1, 2], 4))
+    whole = jpeg.encode(np.full((16, 64, 4), 255, np.uint8), 100)
+    at = whole.index(b"\xff\xda") + 14
+    frame = jpeg.read(whole[:at] + data + b"\xff\xd9")
+    got = [c.blocks for c in frame.components.values()]
+    want = blocks.reshape(4, 6, 64)
+    assert (got[0].reshape(2, 4, 2, 64).swapaxes(0, 1).reshape(4, 4, 64) == want[:, :4]).all()
+    assert (got[1].reshape(4, 64) == want[:, 4]).all() and (got[2].reshape(4, 64) == want[:, 5]).all()
