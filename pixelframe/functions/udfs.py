@@ -1,4 +1,5 @@
-"""The engine as SQL functions: image_format, image_probe, image_run, image_error and the table function image_pixels.
+"""The engine as SQL functions: image_format, image_probe, image_result (content and error), image_run and image_error (either of
+the two alone) and the table function image_pixels.
 
 Header functions of PNG, GIF, BMP and WebP exist as plain expressions in functions.headers; those don't leave the JVM.
 """
@@ -50,6 +51,13 @@ def _ran(content: bytes | None, spec: str) -> bytes | ImageError | None:
         return e
 
 
+@F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
+def image_result(content: pd.Series, spec: pd.Series) -> pd.DataFrame:
+    """The file after a recipe, or what went wrong, from one run."""
+    done = [_ran(c, s) for c, s in zip(content, spec, strict=True)]
+    return pd.DataFrame({"content": pd.Series([None if isinstance(d, ImageError) else d for d in done], dtype=object), "error": pd.Series([f"{d.code}: {d}" if isinstance(d, ImageError) else None for d in done], dtype=object)})
+
+
 @F.pandas_udf(T.BinaryType())
 def image_run(content: pd.Series, spec: pd.Series) -> pd.Series:
     """The file after a recipe; null where that fails: image_error says why."""
@@ -78,6 +86,6 @@ class image_pixels:  # noqa: N801
 
 
 def register(spark: SparkSession) -> None:
-    for f in (image_format, image_probe, image_run, image_error):
+    for f in (image_format, image_probe, image_result, image_run, image_error):
         spark.udf.register(f.__name__, f)
     spark.udtf.register("image_pixels", image_pixels)

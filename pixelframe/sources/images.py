@@ -23,7 +23,7 @@ from ..plans import geometry as G
 from ..plans import spec as S
 from .codecs import codec, jpeg, sniff
 
-#: Rows of an Arrow batch: a raster may take hundreds of megabytes.
+#: Rows that a function takes of an Arrow batch at once: a raster may take hundreds of megabytes.
 BATCH_ROWS = 16
 IMAGE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("data", T.BinaryType())])
 PIXELS = "y int, x int, r int, g int, b int, a int"
@@ -103,7 +103,6 @@ def run_bytes(content: bytes, spec: dict[str, Any], max_pixels: int = G.MAX_PIXE
 
 def _mapped(df: DataFrame, drop: str, fields: list[T.StructField], f: Callable[[dict], dict], strict: bool, batch: int = BATCH_ROWS) -> DataFrame:
     """The columns of df but for `drop`, and those that f makes of a row; its errors go into the column error."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     new = [x.name for x in fields] + ["error"]
     kept = [x for x in df.schema.fields if x.name not in (drop, *new)]
     schema = T.StructType([*kept, *fields, T.StructField("error", ERROR)])
@@ -113,9 +112,9 @@ def _mapped(df: DataFrame, drop: str, fields: list[T.StructField], f: Callable[[
     names = [x.name for x in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(at, batch) for b in batches for at in range(0, len(b), batch)):
             out = []
-            for row in batch.to_pylist():
+            for row in part.to_pylist():
                 try:
                     done = row.get("error") and {"error": row["error"]} or f(row)
                 except ImageError as e:
@@ -123,7 +122,7 @@ def _mapped(df: DataFrame, drop: str, fields: list[T.StructField], f: Callable[[
                         raise
                     done = {"error": e.row()}
                 out.append(done)
-            columns = [batch.column(batch.schema.names.index(n)) for n in names]
+            columns = [part.column(part.schema.names.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([o.get(n) for o in out], k) for n, k in zip(new, kinds, strict=True)], names=names + new)
 
     return df.mapInArrow(run, schema)
@@ -152,6 +151,11 @@ def probe(files: DataFrame, strict: bool = False) -> DataFrame:
     return _mapped(files, "content", [T.StructField("format", T.StringType()), T.StructField("width", integer), T.StructField("height", integer)], one, strict)
 
 
+def orientation(files: DataFrame) -> DataFrame:
+    """orientation, 1 to 8, as the first EXIF segment of the column content says, which goes; 1 where none does."""
+    return _mapped(files, "content", [T.StructField("orientation", T.IntegerType())], lambda row: {"orientation": jpeg.orientation(row["content"] or b"")}, False)
+
+
 def decode(files: DataFrame, format: str | None = None, max_pixels: int = G.MAX_PIXELS, hint: int | None = None, strict: bool = False) -> DataFrame:
     """The column image in place of content."""
     if hint is not None:
@@ -230,8 +234,8 @@ def from_pixels(pixels: DataFrame, identifier: str = "image_id") -> DataFrame:
     """identifier and image of a relation of pixels. An image lacks no pixel; one that does comes out as null."""
     order = F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b", "a")))
     whole = pixels.groupBy(identifier).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), order.alias("p"))
-    one = lambda c: F.format_string("%02X", c)
-    data = F.unhex(F.array_join(F.transform("p", lambda p: F.concat(one(p["r"]), one(p["g"]), one(p["b"]), one(p["a"]))), ""))
+    whole_pixel = lambda p: F.shiftleft(p["r"].cast("long"), 24) + F.shiftleft(p["g"], 16) + F.shiftleft(p["b"], 8) + p["a"]
+    data = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(whole_pixel(p)), 8, "0")), ""))
     image = F.struct(F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), data.alias("data"))
     return whole.select(identifier, F.when(F.size("p") == F.col("width") * F.col("height"), image).alias("image"))
 

@@ -82,3 +82,12 @@ def test_stream(spark, tmp_path):
 def test_empty_table(spark):
     none = images.from_bytes(spark, [GOOD]).limit(0)
     assert images.run(none, {}).count() == 0 and images.probe(none).count() == 0 and images.to_pixels(images.decode(none)).count() == 0
+
+
+def test_session_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    files = images.from_bytes(spark, [b"BM"] * 40)
+    plans = [images.run(files, {}), images.decode(files), images.probe(files), images.check_specs(files.selectExpr("'{}' AS spec"))]
+    assert spark.conf.get(name) == before
+    assert [p.count() for p in plans] == [40] * 4 and spark.conf.get(name) == before
