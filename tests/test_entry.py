@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import importlib.util
+import sys
+
+import pytest
 
 import __spark_entry__ as entry
+import pixelframe
 
 
 def test_entry(spark):
@@ -16,9 +19,15 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_without_llm(monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else real(name, *a))
+@pytest.mark.parametrize("missing", ["pixelframe.llm", "zstandard", "corpus_pipeline"])
+def test_without_llm(monkeypatch, missing):
+    """Without the subpackage, the pipeline, or what either needs, the engine's queries are still there."""
+    for name in [m for m in sys.modules if m.startswith("pixelframe.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    if hasattr(pixelframe, "llm"):
+        monkeypatch.delattr(pixelframe, "llm")
+    monkeypatch.setitem(sys.modules, missing, None)
     names = entry.queries()
-    assert "sniff" in names and "pipeline" not in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
+    assert "sniff" in names and "pipeline" not in names
+    assert missing == "corpus_pipeline" or not any(n.startswith("op") and n[2].isdigit() for n in names)
     assert set(entry.oracle_sql()) <= set(names)
