@@ -62,3 +62,8 @@ def quantiser_step(base: Column, quality: Column) -> Column:
     """An entry of a quantisation table at a quality of 1..100, cut to 1..255."""
     scale = F.when(quality < 50, F.floor(F.lit(5000) / quality)).otherwise(200 - 2 * quality)
     return F.greatest(F.lit(1), F.least(F.lit(255), F.floor((base * scale + 50) / 100))).cast("int")
+
+
+def magnitude(value: Column) -> Column:
+    """Bits of the absolute value: the category of a coefficient."""
+    return F.when(value == 0, 0).otherwise(F.length(F.bin(F.abs(value)))).cast("int")

@@ -8,6 +8,7 @@ Rasters of photos belong in the packed layout (operators.rasters); this one is f
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -146,13 +147,13 @@ class Pixels:
         return self if plan.same else self.resample(plan.width, plan.height, resampling, alpha)
 
     def rotate(self, angle: float, resampling: str = "bilinear", background: Sequence[int] | None = None, max_pixels: int = G.MAX_PIXELS, alpha: bool = True) -> Pixels:
-        """Nearest and bilinear; lanczos3 is in the packed layout."""
         G.check_angle(angle)
         if G.quarter_turns(angle) is not None:
             return self.rotate90(angle)
-        if resampling == "lanczos3":
-            raise NotImplementedError("lanczos3 rotates in the packed layout: operators.rasters.rotate")
+        G.check_kernel(resampling, "rotate.resampling")
         plan = G.Rotation.of(self.width, self.height, angle, max_pixels)
+        if resampling == "lanczos3":
+            return self._lanczos3(plan, tuple(background or G.CLEAR))
         if resampling == "nearest":
             return self._picked(nearest_plan(plan), background or G.CLEAR, plan.width, plan.height)
         fill = tuple(background or G.CLEAR)
@@ -173,6 +174,33 @@ class Pixels:
         return source._gathered(bilinear_plan(plan), kind, pixel, plan.width, plan.height)
 
 
+    def _lanczos3(self, plan: G.Rotation, fill: Sequence[int]) -> Pixels:
+        def pixel(t: Column) -> Column:
+            def total(value) -> Column:
+                return F.aggregate(t["taps"], F.lit(0.0), lambda s, tap: s + value(F.get(F.col("image"), tap["i"])) * tap["w"])
+
+            a = total(lambda p: p["a"].cast("double")) * t["norm"]
+            colours = [total(lambda p, c=c: p[c] * (p["a"] / F.lit(255.0))) * t["norm"] * (F.lit(255.0) / a) for c in "rgb"]
+            return F.struct(*(F.when(t["norm"].isNull() | (a <= 0), F.lit(int(f))).otherwise(clamp8(v)).alias(c) for c, f, v in zip(CHANNELS, fill, [*colours, a], strict=True)))
+
+        return self._gathered(lanczos3_plan(plan), "array<struct<norm:double,taps:array<struct<i:int,w:double>>>>", pixel, plan.width, plan.height)
+
+
+def lanczos3_plan(plan: G.Rotation) -> list[dict]:
+    """The source pixels within three of each destination pixel's place, their weights, and what these are divided by."""
+    out, w, h = [], plan.source_width, plan.source_height
+    for row in plan.places(0.0):
+        for sx, sy in row:
+            x, y, taps, total = sx - 0.5, sy - 0.5, [], 0.0
+            if -0.5 <= sx <= w - 0.5 and -0.5 <= sy <= h - 0.5:
+                for j in range(max(0, math.ceil(y - 3)), min(h - 1, math.floor(y + 3)) + 1):
+                    for i in range(max(0, math.ceil(x - 3)), min(w - 1, math.floor(x + 3)) + 1):
+                        taps.append({"i": j * w + i, "w": G.kernel_weight(j - y, "lanczos3") * G.kernel_weight(i - x, "lanczos3")})
+                        total += taps[-1]["w"]
+            out.append({"norm": 1 / total, "taps": taps} if total else {})
+    return out
+
+
 def nearest_plan(plan: G.Rotation) -> list[int]:
     """The source pixel of each destination pixel, in rows; -1 outside."""
     out = []

@@ -654,8 +654,12 @@ def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import file_queries  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import file_queries  # noqa: F401
+
     return dict(SQL)

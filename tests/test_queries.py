@@ -8,7 +8,7 @@ import pytest
 from pixelframe.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("embeddings", "part", "events", "documents")
+TABLES = ("embeddings", "part", "events", "documents", "region")
 
 
 @pytest.fixture(scope="module")
