@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: five stages over documents, each on all that the one before kept."""
+"""A training-corpus pipeline: five stages over documents, each on all that the one before kept.
+
+All stages read the columns doc_id and text alone, whatever others are called, and all but the last return the rows that
+they keep with all their columns. Null texts count as empty ones; null, repeated and tied ids are stated with each stage;
+very long texts are read whole; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelframe.llm import decontaminate, jaccard, quality, sentencepiece, toxicity
-from pixelframe.llm.common import mark, remainder, shared_dir, table
+from pixelframe.llm.common import drop, drop_folders, folders, mark, remainder, shared_dir, table
 from pixelframe.llm.queries import piece_model
 
 
@@ -21,30 +26,37 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network takes for toxic go."""
+    """Documents that the network takes for toxic go, each by its text alone: repeated rows go or stay together, empty and null
+    texts are windows without words. Without labels of both kinds the score is a constant, and with no labels at all
+    nothing is known to be clean: 1/2, and all go."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4).isin(0, 1, 3))
     return toxicity.accepted(docs, model)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules take for bad go."""
+    """Documents that the rules take for bad go, each by its text alone: repeated rows go or stay together, empty and null texts
+    have statistics of zero. Without labels of both kinds the score is a constant."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) > 0)
     return quality.accepted(docs, model)
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest id. Five-word shingles, four fifths in common."""
+    """One document of each group stays: that of the smallest id, of equal ids the first read, null ids last. Five-word shingles,
+    four fifths in common. Rows that repeat in id and text are one group, whatever other columns hold; null and blank texts
+    are in no group and stay."""
     return _kept(docs, jaccard.near_duplicates(docs, 5, 80).where("first"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten words of a benchmark item in a row, or the whole of a shorter one, go."""
+    """Documents that hold ten words of a benchmark item in a row, or the whole of a shorter one, go; repeated rows go or stay
+    together, null and empty texts stay, and an empty benchmark rejects nothing."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), marked=True)
     return _kept(docs, found.where(~F.col("contaminated")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What a trainer reads: the ids of each text."""
+    """What a trainer reads: doc_id, the ids of each text, how many, their digest, and whether they decode to it. A row for each
+    row, repeated ones too; null and empty texts have no ids."""
     rows = sentencepiece.encode(docs, piece_model(), own_rule=True)
     return rows.select("doc_id", "ids", "n_tokens", "ids_sha256", "round_trip")
 
@@ -56,8 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    """The last stage's rows for the table documents in `sf_dir`. Each stage's result is written to a new shared folder and read
+    again, so a lost executor costs one stage's tasks; when the next one is written, it and what the stage wrote on its way are
+    deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        since, to = folders(), f"{shared_dir(spark)}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(to)
+        docs = spark.read.parquet(to)
+        if before is not None:
+            drop(spark, before)
+        drop_folders(spark, since + 1)
+        before = to
     return STAGES[-1][1](spark, docs, sf_dir)
