@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
+from .errors import ImageError
 from .functions import numerics as N
 from .functions import udfs
 from .operators import rasters as R
 from .plans.spec import Builder
 from .queries import GREY, RGBA, SQL, _files, _table, grey, query, rgba, sql_clamp
 from .sources import images
-from .sources.codecs import jpeg
+from .sources.codecs import jpeg, webp
 from .streaming import arrivals
 
 Make = Callable[[int, int], bytes]
@@ -593,3 +594,39 @@ def encode_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The pixel layout's own.
 
 query("rotate_lanczos3", SQL["packed_rotate_lanczos3"])(lambda spark, sf_dir: rgba(spark, sf_dir).rotate(33, "lanczos3").df)
+
+
+# WebP: lossless files are read and written here, lossy ones by a library.
+
+query("codec_webp", SQL["pixels_rgba"])(lambda spark, sf_dir: images.to_pixels(images.decode(_files(spark, sf_dir, rgba, "webp", lossless=True).drop("error"))))
+
+
+def _without_library(k: int) -> str:
+    """What reading a lossy file, writing one, or loading the codec says where no library can be imported; twice the same."""
+    lossy = b"RIFF\0\0\0\0WEBPVP8 " + b"\0" * 7 + b"\x9d\x01\x2a" + struct.pack("<HH", 7, 4) + b"\0" * 8
+    calls = (lambda: images.decode_bytes(lossy), lambda: images.encode_raster(R.create(2, 2), "webp", {"quality": 50}), lambda: api.preload("webp"))
+    before = webp.BACKENDS, dict(webp._state)
+    webp.BACKENDS = ("no_such_codec",)
+    webp._state.clear()
+    codes = []
+    try:
+        for _ in range(2):
+            try:
+                calls[k % 3]()
+            except ImageError as e:
+                codes.append(e.code)
+        listed = api.supported_formats()
+        return f"{','.join(codes)},{'webp' in listed['read']},{len(listed['unavailable'])}"
+    finally:
+        webp.BACKENDS = before[0]
+        webp._state.clear()
+        webp._state.update(before[1])
+
+
+@query("codec_load_failed", "SELECT p_partkey AS image_id, 'CODEC_LOAD_FAILED,CODEC_LOAD_FAILED,False,1' AS said FROM part")
+def codec_load_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_without_library(k) for k in batch.column(0).to_pylist()])], names=["image_id", "said"])
+
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("image_id")).mapInArrow(run, "image_id long, said string")

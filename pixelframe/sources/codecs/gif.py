@@ -9,6 +9,7 @@ import numpy as np
 from ...errors import CorruptImage, ImageTooLarge, InvalidOption, is_integer
 from ...operators.rasters import Raster
 from ...plans.geometry import MAX_PIXELS
+from .bits import low_first
 
 #: First row and step of the passes of an interlaced frame.
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -224,42 +225,37 @@ def quantise(image: Raster, colors: int, dither: bool) -> tuple[np.ndarray, np.n
 
 
 def pack(index: bytes, least: int) -> bytes:
-    """LZW codes; a full table starts anew."""
+    """LZW codes; a full table starts anew. A run is known by the code of all but its last value."""
     clear, end = 1 << least, (1 << least) + 1
-    out, held, bits = bytearray(), 0, 0
-    fresh = {bytes([i]): i for i in range(clear)}
-    table, free, width, run = dict(fresh), end + 1, least + 1, b""
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held | code << bits, bits + width
-        while bits >= 8:
-            out.append(held & 255)
-            held, bits = held >> 8, bits - 8
-
-    put(clear)
+    table: dict[int, int] = {}
+    free, width, run = end + 1, least + 1, -1
+    codes, widths = [clear], [width]
     for value in index:
-        longer = run + bytes([value])
-        if longer in table:
-            run = longer
+        if run < 0:
+            run = value
             continue
-        put(table[run])
+        longer = run << 8 | value
+        if (known := table.get(longer)) is not None:
+            run = known
+            continue
+        codes.append(run)
+        widths.append(width)
         if free < 4096:
             table[longer], free = free, free + 1
             if free > 1 << width and width < 12:
                 width += 1
         else:
-            put(clear)
-            table, free, width = dict(fresh), end + 1, least + 1
-        run = bytes([value])
-    if run:
-        put(table[run])
+            codes.append(clear)
+            widths.append(width)
+            table.clear()
+            free, width = end + 1, least + 1
+        run = value
+    if run >= 0:
+        codes.append(run)
+        widths.append(width)
         if free < 4096 and free + 1 > 1 << width and width < 12:
             width += 1
-    put(end)
-    if bits:
-        out.append(held & 255)
-    return bytes(out)
+    return low_first(np.array([*codes, end]), np.array([*widths, width]))
 
 
 def encode(image: Raster, colors: int = 256, dither: bool = True) -> bytes:

@@ -13,6 +13,7 @@ import numpy as np
 from ...errors import CorruptImage, ImageTooLarge, InvalidOption, UnsupportedFormat, is_integer
 from ...operators.rasters import Raster, clamped, composite
 from ...plans.geometry import MAX_PIXELS, WHITE
+from .bits import high_first
 
 #: Places of a block's coefficients in the order in which files hold them: along the diagonals, turning at each end.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
@@ -528,18 +529,7 @@ def _coded(blocks: np.ndarray, component: np.ndarray) -> bytes:
     every = np.arange(len(blocks))
     found = np.concatenate([part(dc, every, difference, np.zeros(len(blocks), np.int64), difference, low(first, difference)), part(ac, block[many], np.full(len(many), 0xF0), 2 * place[many] + 2), part(ac, block, (run & 15) << 4 | size, 2 * place + 3, size, low(value, size)), part(ac, short, np.zeros(len(short), np.int64), np.full(len(short), 255))], 1)
     _, bits, length = found[:, np.argsort(found[0], kind="stable")]
-    end = np.cumsum(length)
-    words = np.zeros(int(end[-1]) // 64 + 2, np.uint64)
-    word, left = (end - length) >> 6, 64 - ((end - length) & 63) - length
-    bits = bits.astype(np.uint64)
-    fits = left >= 0
-    np.bitwise_or.at(words, word, np.where(fits, bits << np.maximum(left, 0).astype(np.uint64), bits >> np.maximum(-left, 0).astype(np.uint64)))
-    over = np.flatnonzero(~fits)
-    np.bitwise_or.at(words, word[over] + 1, bits[over] << (64 + left[over]).astype(np.uint64))
-    data = bytearray(words.astype(">u8").tobytes()[: -(-int(end[-1]) // 8)])
-    if end[-1] % 8:
-        data[-1] |= (1 << (8 - int(end[-1]) % 8)) - 1
-    return bytes(data).replace(b"\xff", b"\xff\0")
+    return high_first(bits, length, 1).replace(b"\xff", b"\xff\0")
 
 
 def encode(image: Raster, quality: int = 82, background: tuple[int, ...] = WHITE) -> bytes:

@@ -10,6 +10,7 @@ import numpy as np
 from ...errors import CorruptImage, ImageTooLarge, InvalidOption, UnsupportedFormat
 from ...operators.rasters import Raster, has_alpha
 from ...plans.geometry import MAX_PIXELS
+from .bits import high_first
 
 # Tag numbers, and bytes of each field type that holds integers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -212,41 +213,35 @@ def _rgba(d: Directory, lines: np.ndarray, width: int, n: int, bits: int) -> Ras
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, bits, width = bytearray(), 0, 0, 9
-    table: dict[bytes, int] = {}
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    fresh = {bytes([i]): i for i in range(256)}
-    put(CLEAR)
-    table, free, run = dict(fresh), FIRST, b""
+    """LZW codes; a run is known by the code of all but its last byte."""
+    table: dict[int, int] = {}
+    free, width, run = FIRST, 9, -1
+    codes, widths = [CLEAR], [9]
     for byte in data:
-        longer = run + bytes([byte])
-        if longer in table:
-            run = longer
+        if run < 0:
+            run = byte
+            continue
+        longer = run << 8 | byte
+        if (known := table.get(longer)) is not None:
+            run = known
             continue
-        put(table[run])
+        codes.append(run)
+        widths.append(width)
         table[longer], free = free, free + 1
         width = 9 if free < 512 else 10 if free < 1024 else 11 if free < 2048 else 12
         if free >= 4094:
-            put(CLEAR)
-            table, free, width = dict(fresh), FIRST, 9
-        run = bytes([byte])
-    if run:
-        put(table[run])
+            codes.append(CLEAR)
+            widths.append(width)
+            table.clear()
+            free, width = FIRST, 9
+        run = byte
+    if run >= 0:
+        codes.append(run)
+        widths.append(width)
         # the reader has one entry more by now
         free += 1
         width = 9 if free < 512 else 10 if free < 1024 else 11 if free < 2048 else 12
-    put(END)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    return high_first(np.array([*codes, END]), np.array([*widths, width]))
 
 
 def encode(image: Raster, compression: str = "lzw") -> bytes:

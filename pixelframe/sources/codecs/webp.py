@@ -1,5 +1,5 @@
-"""WebP: sizes from the header; pixels by a library, where one can be imported. It is looked for once in a process, when first
-needed, and what came of it holds from then on."""
+"""WebP: sizes from the header; lossless pixels here, lossy ones by a library, where one can be imported. It is looked for once
+in a process, when first needed, and what came of it holds from then on."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import numpy as np
 
 from ...errors import CorruptImage, ImageError, InvalidOption, is_number, shown
 from ...operators.rasters import Raster
+from . import vp8l
 
 #: Modules that may decode and encode, in this order.
 BACKENDS = ("PIL.Image",)
@@ -71,11 +72,14 @@ def decode(content: bytes) -> Raster:
     import io
 
     size = probe(content)
-    codec = load()
-    try:
-        image = np.array(codec.open(io.BytesIO(content)).convert("RGBA"))
-    except Exception as e:
-        raise CorruptImage(f"WebP data does not decode: {e}") from e
+    if (data := vp8l.find(content)) is not None:
+        image = vp8l.decode(data)
+    else:
+        codec = load()
+        try:
+            image = np.array(codec.open(io.BytesIO(content)).convert("RGBA"))
+        except Exception as e:
+            raise CorruptImage(f"WebP data does not decode: {e}") from e
     if (image.shape[1], image.shape[0]) != size:
         raise CorruptImage("WebP data has another size than its header")
     return image
@@ -89,8 +93,12 @@ def encode(image: Raster, quality: float | None = None, lossless: bool = False)
     quality = 80 if quality is None else quality
     if not is_number(quality) or not math.isfinite(quality) or not 1 <= quality <= 100:
         raise InvalidOption("encode.quality", quality, "must be between 1 and 100")
+    if lossless:
+        if max(image.shape[:2]) > 1 << 14:
+            raise InvalidOption("webp.size", [image.shape[1], image.shape[0]], "must not exceed 16384")
+        return vp8l.wrapped(vp8l.encode(image))
     out = io.BytesIO()
-    load().fromarray(image, "RGBA").save(out, "WEBP", quality=quality, lossless=lossless)
+    load().fromarray(image, "RGBA").save(out, "WEBP", quality=quality)
     if not out.getvalue():
         raise ImageError("ENCODE_FAILED", f"Encoding to webp failed at quality {shown(quality)}")
     return out.getvalue()

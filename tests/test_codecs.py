@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from pixelframe.errors import CorruptImage, ImageError, ImageTooLarge, InvalidOption, UnsupportedFormat
-from pixelframe.sources.codecs import bmp, codec, gif, jpeg, png, sniff, tiff, webp
+from pixelframe.sources.codecs import bmp, codec, gif, jpeg, png, sniff, tiff, vp8l, webp
 from pixelframe.sources.images import decode_bytes
 
 Y, X = np.mgrid[0:21, 0:27]
@@ -278,7 +278,7 @@ def test_webp_without_a_library(monkeypatch):
     monkeypatch.setattr(webp, "BACKENDS", ("no_such_codec",))
     webp._state.clear()
     assert catalog.supported_formats()["pending"] == ["webp"] and "webp" in catalog.supported_formats()["read"]
-    content = b"RIFF\0\0\0\0WEBPVP8L" + b"\0" * 4 + b"\x2f" + struct.pack("<I", 6 | 3 << 14) + b"\0" * 8
+    content = b"RIFF\0\0\0\0WEBPVP8 " + b"\0" * 7 + b"\x9d\x01\x2a" + struct.pack("<HH", 7, 4) + b"\0" * 8
     assert webp.probe(content) == (7, 4)
     for _ in range(2):
         with pytest.raises(ImageError) as e:
@@ -288,6 +288,122 @@ def test_webp_without_a_library(monkeypatch):
     webp._state.clear()
 
 
+def _text(image) -> str:
+    """The bits of a picture's lossless chunk, the lowest of each number first."""
+    return "".join(_low(v, n) for v, n in vp8l._numbers(image).T.tolist())
+
+
+def _bytes(text: str) -> bytes:
+    return b"".join(bytes([int(text[k : k + 8].ljust(8, "0")[::-1], 2)]) for k in range(0, len(text), 8))
+
+
+def _low(value: int, n: int) -> str:
+    return f"{value:0{n}b}"[::-1] if n else ""
+
+
+@pytest.mark.parametrize("colours", [1, 2, 3, 40, 256])
+def test_webp_lossless(colours):
+    rng = np.random.default_rng(colours)
+    for h, w in ((1, 1), (3, 7), (20, 33)):
+        image = rng.choice(rng.integers(0, 256, colours), (h, w, 4)).astype(np.uint8)
+        content = webp.encode(image, lossless=True)
+        assert webp.probe(content) == (w, h) and (decode_bytes(content) == image).all()
+        extended = b"RIFF" + struct.pack("<I", 0) + b"WEBPVP8X" + struct.pack("<II", 10, 16) + (w - 1).to_bytes(3, "little") + (h - 1).to_bytes(3, "little") + content[12:]
+        assert (decode_bytes(extended) == image).all()
+        for cut in range(20, len(content), 7):
+            with pytest.raises(ImageError):
+                decode_bytes(content[:cut] if cut < 30 else content[: cut // 2 + 10])
+
+
+def test_webp_transforms():
+    """Green added, colours shared, an index, and all predictors, each applied here and undone there."""
+    rng = np.random.default_rng(3)
+    h, w = 9, 13
+    image = rng.integers(0, 256, (h, w, 4)).astype(np.uint8)
+    plain = _text(image)
+    head, sub = plain[:40], lambda part: (lambda t: t[41] + t[43:])(_text(part))
+    rest = lambda part: _text(part)[40:]
+
+    def read(text):
+        return vp8l.decode(_bytes(text))
+
+    green = image.copy()
+    green[..., 0] -= image[..., 1]
+    green[..., 2] -= image[..., 1]
+    assert (read(head + "1" + _low(2, 2) + rest(green)) == image).all()
+    # shares of red and green, for blocks of 4 x 4
+    share = rng.integers(0, 256, (3, 4, 4)).astype(np.uint8)
+    signed = lambda v: int(v) - 256 if v > 127 else int(v)
+    other = image.copy()
+    for y in range(h):
+        for x in range(w):
+            red_to_blue, green_to_blue, green_to_red = map(signed, share[y // 4, x // 4, :3])
+            r, g, b = map(int, image[y, x, :3])
+            other[y, x, 0] = (r - (green_to_red * signed(g) >> 5)) % 256
+            other[y, x, 2] = (b - (green_to_blue * signed(g) >> 5) - (red_to_blue * signed(r) >> 5)) % 256
+    assert (read(head + "1" + _low(1, 2) + _low(0, 3) + sub(share) + rest(other)) == image).all()
+    for n, packed in ((2, 3), (4, 2), (11, 1), (200, 0)):
+        colours = rng.integers(0, 256, (n, 4)).astype(np.uint8)
+        index = rng.integers(0, n, (h, w))
+        each, columns = 8 >> packed, (w + (1 << packed) - 1) >> packed
+        small = np.zeros((h, columns, 4), np.uint8)
+        for x in range(w):
+            small[:, x >> packed, 1] |= (index[:, x] << (each * (x & ((1 << packed) - 1)))).astype(np.uint8)
+        steps = np.diff(colours.astype(int), axis=0, prepend=0).astype(np.uint8)[None]
+        assert (read(head + "1" + _low(3, 2) + _low(n - 1, 8) + sub(steps) + rest(small)) == colours[index]).all()
+    modes = np.zeros((3, 4, 4), np.uint8)
+    modes[..., 1] = rng.permutation(np.arange(14))[:12].reshape(3, 4)
+    for extra in (modes, np.full((3, 4, 4), 12, np.uint8), np.full((3, 4, 4), 13, np.uint8), np.full((3, 4, 4), 11, np.uint8)):
+        left = image.copy()
+        for y in range(h):
+            for x in range(w):
+                flat = image.reshape(-1, 4).astype(int)
+                at = y * w + x
+                L, T, TL, TR = (flat[at - k] if at >= k else None for k in (1, w, w + 1, w - 1))
+                half = lambda a, b: (a + b) // 2
+                if not y:
+                    guess = L if x else np.array([0, 0, 0, 255])
+                elif not x:
+                    guess = T
+                else:
+                    guess = [lambda: np.array([0, 0, 0, 255]), lambda: L, lambda: T, lambda: TR, lambda: TL, lambda: half(half(L, TR), T), lambda: half(L, TL), lambda: half(L, T), lambda: half(TL, T), lambda: half(T, TR), lambda: half(half(L, TL), half(T, TR)), lambda: L if abs(L + T - TL - L).sum() < abs(L + T - TL - T).sum() else T, lambda: np.clip(L + T - TL, 0, 255), lambda: np.clip(half(L, T) + np.trunc((half(L, T) - TL) / 2).astype(int), 0, 255)][extra[y // 4, x // 4, 1]]()
+                left[y, x] = (image[y, x].astype(int) - guess) % 256
+        assert (read(head + "1" + _low(0, 2) + _low(0, 3) + sub(extra) + rest(left)) == image).all()
+    # two transforms: the last one read is undone first
+    assert (read(head + "1" + _low(2, 2) + "1" + _low(0, 2) + _low(0, 3) + sub(modes * 0 + np.array([0, 2, 0, 0], np.uint8)) + rest(_up(green))) == image).all()
+
+
+def _up(image):
+    """Less the pixel above, or in the first row the one to the left."""
+    out = image.copy()
+    out[1:] -= image[:-1]
+    out[0, 1:] -= image[0, :-1]
+    out[0, 0] -= np.array([0, 0, 0, 255], np.uint8)
+    return out
+
+
+def test_webp_copies_and_cache():
+    """Two colours, four pixels from two back, one from the cache, and the row above it."""
+    a, b = (1, 10, 3, 255), next((1, g, 3, 255) for g in range(20, 99) if (255 << 24 | 1 << 16 | g << 8 | 3) * 0x1E35A7BD % 2**32 >> 30 != (255 << 24 | 1 << 16 | 10 << 8 | 3) * 0x1E35A7BD % 2**32 >> 30)
+    number = lambda p: p[3] << 24 | p[0] << 16 | p[1] << 8 | p[2]
+    place = number(a) * 0x1E35A7BD % 2**32 >> 30
+    assert place != number(b) * 0x1E35A7BD % 2**32 >> 30
+    symbols = [10, b[1], 256 + 3, 256 + 4, 280 + place]
+    size = 280 + 4
+    lengths = [0] * size
+    for s, n in zip(symbols, (2, 2, 2, 3, 3), strict=True):
+        lengths[s] = n
+    codes = dict(zip(symbols, ("00", "01", "10", "110", "111"), strict=True))
+    green = "0" + _low(15, 4) + "".join(_low(0 if k > 15 else 4, 3) for k in vp8l.ORDER) + "0" + "".join(f"{n:04b}" for n in lengths)
+    single = lambda v: "1" + "0" + "1" + _low(v, 8)
+    distances = "1" + "1" + "1" + _low(0, 8) + _low(4, 8)  # prefixes 0 and 4, as bits 0 and 1
+    # width 7, height 2: a b (a b a b) a, then seven of the row above
+    data = codes[10] + codes[b[1]] + codes[259] + "1" + _low(1, 1) + codes[280 + place] + codes[260] + _low(1, 1) + "0" + codes[10]
+    text = _low(0x2F, 8) + _low(6, 14) + _low(1, 14) + "0" + "000" + "0" + "1" + _low(2, 4) + "0" + green + single(1) + single(3) + single(255) + distances + data
+    got = vp8l.decode(_bytes(text))
+    assert got[..., 1].tolist() == [[10, b[1]] * 3 + [10]] * 2
+
+
 def test_dithering_is_a_scan():
     """Line by slanted line gives what pixel after pixel does."""
     rng = np.random.default_rng(7)
