@@ -20,7 +20,8 @@ def create(width: int, height: int, fill: tuple[int, ...] = G.CLEAR) -> Raster:
     for name, value in (("width", width), ("height", height)):
         if not is_integer(value) or value < 1:
             raise InvalidOption(name, value, "must be an integer >= 1")
-    return np.broadcast_to(clamped(np.array(fill, float)), (height, width, 4)).copy()
+    pixel = clamped(np.array(fill, float)).view(np.uint32)[0]
+    return np.full((height, width), pixel).view(np.uint8).reshape(height, width, 4)
 
 
 def from_bytes(width: int, height: int, data: bytes) -> Raster:
@@ -124,15 +125,15 @@ def rotate(image: Raster, angle: float, resampling: str = "bilinear", background
     plan = G.Rotation.of(w, h, angle, max_pixels)
     out = create(plan.width, plan.height, background or G.CLEAR)
     shift = 0.0 if resampling == "lanczos3" else 0.5
-    steps = np.empty((2, plan.height, plan.width))
-    steps[0], steps[1] = plan.cos, -plan.sin
-    steps[:, :, 0] = np.array(plan.starts(shift)).T
-    sx, sy = np.cumsum(steps, 2)
+    starts = np.array(plan.starts(shift)).T
     see_through = has_alpha(image)
     image = np.ascontiguousarray(premultiply(image) if see_through and resampling == "bilinear" else image)
     for top in range(0, plan.height, BAND):  # a band at a time stays in the cache
         band = slice(top, top + BAND)
-        _rotated(image, out[band], sx[band], sy[band], resampling, see_through)
+        steps = np.empty((2, *out[band].shape[:2]))
+        steps[0], steps[1] = plan.cos, -plan.sin
+        steps[:, :, 0] = starts[:, band]
+        _rotated(image, out[band], *np.cumsum(steps, 2), resampling, see_through)
     return out
 
 
@@ -151,30 +152,44 @@ def _rotated(image: Raster, out: Raster, sx: np.ndarray, sy: np.ndarray, resampl
         return
     inside = (sx >= -0.5) & (sy >= -0.5) & (sx <= w - 0.5) & (sy <= h - 0.5)
     x, y = sx[inside], sy[inside]
-    colour, alpha = _lanczos(image, x - 0.5, y - 0.5) if resampling == "lanczos3" else _bilinear(whole, x, y, see_through)
-    if alpha is None:
-        out[inside] = np.hstack([clamped(colour), np.full((len(colour), 1), 255, np.uint8)])
+    if resampling == "lanczos3":
+        colour, alpha = _lanczos(image, x - 0.5, y - 0.5)
+        channels = [*colour.T, alpha]
+    else:
+        channels = _bilinear(whole, x, y, see_through)
+    packed = np.zeros(len(x), np.uint32)
+    for k, values in enumerate(channels):
+        packed |= clamped(values).astype(np.uint32) << np.uint32(8 * k)
+    numbers = out.view(np.uint32)[..., 0]
+    if len(channels) == 3:
+        numbers[inside] = packed | np.uint32(255 << 24)
         return
-    shown = alpha > 0  # without a background the rest is clear already
-    pixels = out[inside]
-    pixels[shown] = clamped(np.hstack([colour[shown], alpha[shown, None]]))
-    out[inside] = pixels
+    # without a background the rest is clear already
+    numbers[inside] = np.where(channels[3] > 0, packed, numbers[inside])
 
 
-def _bilinear(whole: np.ndarray, x: np.ndarray, y: np.ndarray, see_through: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Colour and alpha (None: opaque throughout) from premultiplied pixels."""
+def _bilinear(whole: np.ndarray, x: np.ndarray, y: np.ndarray, see_through: bool) -> list[np.ndarray]:
+    """Red, green, blue and, unless all pixels are opaque, alpha, from premultiplied pixels. Channel by channel, so that all runs
+    over whole arrays."""
     h, w = whole.shape
-    x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
-    fx, fy = x - x0, y - y0
-    xs, ys = [np.clip(x0 + d, 0, w - 1) for d in (0, 1)], [np.clip(y0 + d, 0, h - 1) * w for d in (0, 1)]
-    flat, n, total = whole.reshape(-1), 4 if see_through else 3, None
-    for j, i, weight in ((0, 0, (1 - fx) * (1 - fy)), (0, 1, fx * (1 - fy)), (1, 0, (1 - fx) * fy), (1, 1, fx * fy)):
-        term = flat[ys[j] + xs[i]].view(np.uint8).reshape(-1, 4)[:, :n] * weight[:, None]
-        total = term if total is None else total + term
-    if not see_through:
-        return total, None
-    alpha = total[:, 3]
-    return total[:, :3] * (255 / np.where(alpha > 0, alpha, 1))[:, None], alpha
+    left, top = np.floor(x), np.floor(y)
+    fx, fy = x - left, y - top
+    left, top = left.astype(np.int32), top.astype(np.int32)
+    xs = [np.clip(left + d, 0, w - 1) for d in (0, 1)]
+    ys = [np.clip(top + d, 0, h - 1) * np.int32(w) for d in (0, 1)]
+    flat, gx, gy = whole.reshape(-1), 1 - fx, 1 - fy
+    taps = [(flat.take(ys[j] + xs[i]), u * v) for j, v in enumerate((gy, fy)) for i, u in enumerate((gx, fx))]
+    out = []
+    for k in range(4 if see_through else 3):
+        total = None
+        for pixels, weight in taps:
+            term = (pixels >> np.uint32(8 * k) & np.uint32(255)) * weight
+            total = term if total is None else np.add(total, term, out=total)
+        out.append(total)
+    if see_through:
+        scale = 255 / np.where(out[3] > 0, out[3], 1)
+        out[:3] = [c * scale for c in out[:3]]
+    return out
 
 
 def _lanczos_weight(d: np.ndarray) -> np.ndarray:

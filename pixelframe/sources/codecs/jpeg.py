@@ -190,6 +190,22 @@ def _lookup(counts: tuple[int, ...], symbols: bytes) -> list[int]:
     return table
 
 
+@lru_cache(32)
+def _whole(counts: tuple[int, ...], symbols: bytes, first: bool) -> list[int]:
+    """For every 16 bits that may come, where a code and the number after it fit into them: (number + 32768) << 16 | zeros before
+    it << 8 | bits of both; 128 + bits for "no more"; else 0."""
+    entry = np.array(_lookup(counts, symbols))
+    length, symbol = entry >> 8, entry & 255
+    run, size = (np.zeros_like(symbol), symbol) if first else (symbol >> 4, symbol & 15)
+    total = length + size
+    value = np.arange(65536) >> np.maximum(16 - total, 0) & ((1 << size) - 1)
+    value = np.where(value >> np.maximum(size - 1, 0) != 0, value, value - (1 << size) + 1)
+    out = np.where((length > 0) & (total <= 16) & (first | (size > 0)) & (size <= 11 if first else size <= 15), (np.where(size > 0, value, 0) + 32768) << 16 | run << 8 | total, 0)
+    if not first:
+        out[(length > 0) & (symbol == 0)] = 128 + length[(length > 0) & (symbol == 0)]
+    return out.tolist()
+
+
 def _scan(content: bytes, begin: int, end: int, frame: Frame, tables: dict, interval: int) -> int:
     """Decodes a scan into its components; gives the place of the marker after it."""
     n = content[begin]
@@ -201,7 +217,8 @@ def _scan(content: bytes, begin: int, end: int, frame: Frame, tables: dict, inte
         if name not in frame.components:
             raise CorruptImage("JPEG scan names a component that the frame lacks")
         try:
-            chosen.append((frame.components[name], tables[0, which >> 4], tables[1, which & 15]))
+            dc, ac = tables[0, which >> 4], tables[1, which & 15]
+            chosen.append((frame.components[name], _lookup(*dc), _lookup(*ac), _whole(*dc, True), _whole(*ac, False)))
         except KeyError:
             raise CorruptImage("JPEG scan names a Huffman table that is missing") from None
     at, pieces, start = end, [], end
@@ -228,17 +245,17 @@ def _scan(content: bytes, begin: int, end: int, frame: Frame, tables: dict, inte
         units = [(0, 0, 0)]
     else:
         rows, columns = -(-frame.height // (8 * top_v)), -(-frame.width // (8 * top_h))
-        units = [(i, y, x) for i, (c, _, _) in enumerate(chosen) for y in range(c.v) for x in range(c.h)]
+        units = [(i, y, x) for i, (c, *_) in enumerate(chosen) for y in range(c.v) for x in range(c.h)]
     total = rows * columns
     step = interval or total
     if len(pieces) < -(-total // step):
         raise CorruptImage("JPEG restart marker is missing")
-    held = [array("i", c.blocks.tobytes()) for c, _, _ in chosen]
+    held = [array("i", c.blocks.tobytes()) for c, *_ in chosen]
     for piece, first in zip(pieces, range(0, total, step), strict=False):
         _interval(piece, chosen, held, units, columns, first, min(total, first + step))
-    for (c, _, _), values in zip(chosen, held, strict=True):
+    for (c, *_), values in zip(chosen, held, strict=True):
         c.blocks = np.frombuffer(values, np.int32).reshape(c.blocks.shape)
-    for c, _, _ in chosen:
+    for c, *_ in chosen:
         c.scanned = True
     return at
 
@@ -249,45 +266,63 @@ def _interval(piece: bytes, chosen: list, held: list[array], units: list, column
     windows, at, limit = _windows(piece), 0, 8 * len(piece) + 64 * 8
     before = [0] * len(chosen)
     alone = len(chosen) == 1
+    # each block of a unit: tables, coefficients, and where it begins: by row and column of units
+    known = []
+    for i, y, x in units:
+        c, *codes = chosen[i]
+        wide = c.blocks.shape[1]
+        known.append((i, *codes, held[i], 64 * (1 if alone else c.v) * wide, 64 * (1 if alone else c.h), 64 * (0 if alone else y * wide + x)))
     for unit in range(first, end):
         row, column = divmod(unit, columns)
-        for i, y, x in units:
-            c, dc, ac = chosen[i]
-            values = held[i]
-            base = 64 * (row * c.blocks.shape[1] + column if alone else (row * c.v + y) * c.blocks.shape[1] + column * c.h + x)
+        for i, dc, ac, dc_whole, ac_whole, values, by_row, by_column, base in known:
+            base += row * by_row + column * by_column
             if at > limit:
                 raise CorruptImage("JPEG scan data is short")
-            bits = windows[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
-            entry = dc[bits >> 16]
-            size = entry & 255
-            if not entry or size > 11:
-                raise CorruptImage("JPEG difference has no code or is too large")
-            at += (entry >> 8) + size
-            if size:
+            entry = dc_whole[windows[at >> 3] >> (24 - (at & 7)) & 0xFFFF]
+            if entry:
+                at += entry & 127
+                before[i] += (entry >> 16) - 32768
+            else:
+                bits = windows[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
+                entry = dc[bits >> 16]
+                size = entry & 255
+                if not entry or size > 11:
+                    raise CorruptImage("JPEG difference has no code or is too large")
+                at += (entry >> 8) + size
                 value = bits >> (32 - (entry >> 8) - size) & ((1 << size) - 1)
                 before[i] += value if value >> (size - 1) else value - (1 << size) + 1
             values[base] = before[i]
             k = 1
             while k < 64:
-                bits = windows[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
-                entry = ac[bits >> 16]
-                if not entry:
-                    raise CorruptImage("JPEG code is in no table")
-                size = entry & 15
-                length = entry >> 8
-                if size:
-                    k += entry >> 4 & 15
+                entry = ac_whole[windows[at >> 3] >> (24 - (at & 7)) & 0xFFFF]
+                if entry > 0xFFFF:
+                    k += entry >> 8 & 15
                     if k > 63:
                         raise CorruptImage("JPEG run goes beyond its block")
-                    at += length + size
-                    value = bits >> (32 - length - size) & ((1 << size) - 1)
-                    values[base + k] = value if value >> (size - 1) else value - (1 << size) + 1
+                    at += entry & 127
+                    values[base + k] = (entry >> 16) - 32768
                     k += 1
+                elif entry:
+                    at += entry & 127
+                    break
                 else:
-                    at += length
-                    if entry & 255 != 0xF0:
+                    bits = windows[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
+                    entry = ac[bits >> 16]
+                    if not entry:
+                        raise CorruptImage("JPEG code is in no table")
+                    size, length = entry & 15, entry >> 8
+                    at += length + size
+                    if size:
+                        k += entry >> 4 & 15
+                        if k > 63:
+                            raise CorruptImage("JPEG run goes beyond its block")
+                        value = bits >> (32 - length - size) & ((1 << size) - 1)
+                        values[base + k] = value if value >> (size - 1) else value - (1 << size) + 1
+                        k += 1
+                    elif entry & 255 != 0xF0:
                         break
-                    k += 16
+                    else:
+                        k += 16
                 if at > limit:
                     raise CorruptImage("JPEG scan data is short")
 
@@ -313,7 +348,8 @@ def read(content: bytes) -> Frame:
                 counts = tuple(content[begin + 1 : begin + 17])
                 if begin + 17 + sum(counts) > end:
                     raise CorruptImage("JPEG Huffman table truncated")
-                tables[content[begin] >> 4, content[begin] & 15] = _lookup(counts, content[begin + 17 : begin + 17 + sum(counts)])
+                tables[content[begin] >> 4, content[begin] & 15] = counts, bytes(content[begin + 17 : begin + 17 + sum(counts)])
+                _lookup(*tables[content[begin] >> 4, content[begin] & 15])
                 begin += 17 + sum(counts)
         elif marker == 0xDD:
             (interval,) = struct.unpack_from(">H", content, begin)
@@ -347,10 +383,12 @@ def read(content: bytes) -> Frame:
     return frame
 
 
-def _coefficients(c: Component, quant: dict) -> np.ndarray:
+_NATURAL = np.argsort(ZIGZAG)
+
+
+def _coefficients(blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
     """(rows, columns, 8, 8), dequantised, in natural order."""
-    natural = np.argsort(ZIGZAG)
-    return (c.blocks[..., natural] * quant[c.table][natural].astype(np.int32)).reshape(*c.blocks.shape[:2], 8, 8)
+    return (blocks[..., _NATURAL] * table[_NATURAL].astype(np.int32)).reshape(*blocks.shape[:2], 8, 8)
 
 
 # The multipliers of the accurate integer transform, in 13 bits.
@@ -435,10 +473,21 @@ def upsample(plane: np.ndarray, across: Fraction | int, down: Fraction | int) ->
     return p[np.ix_(rows, columns)]
 
 
-def _rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray, cut: bool = True) -> np.ndarray:
+def _rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> tuple[np.ndarray, ...]:
     cb, cr = cb - 128, cr - 128
-    out = np.stack([y + (91881 * cr + 32768 >> 16), y + (-22554 * cb - 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16)], -1)
-    return np.clip(out, 0, 255) if cut else out
+    return y + (91881 * cr + 32768 >> 16), y + (-22554 * cb - 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16)
+
+
+def _plane(c: Component, quant: dict, n: int) -> np.ndarray:
+    """The samples of a component, n x n for each block."""
+    rows, columns = c.blocks.shape[:2]
+    out = np.empty((rows * n, columns * n), np.uint8)
+    step = max(1, 2048 // columns)  # so many blocks at a time stay in the cache
+    for top in range(0, rows, step):
+        blocks = _coefficients(c.blocks[top : top + step], quant[c.table])
+        samples = inverse(blocks) if n == 8 else reduced_inverse(blocks, n)
+        out[top * n : (top + len(blocks)) * n] = samples.swapaxes(1, 2).reshape(len(blocks) * n, columns * n)
+    return out[: -(-c.height * n // 8), : -(-c.width * n // 8)]
 
 
 def decode(content: bytes, hint: int | None = None) -> Raster:
@@ -450,21 +499,22 @@ def decode(content: bytes, hint: int | None = None) -> Raster:
     top_h, top_v = max(c.h for c in parts), max(c.v for c in parts)
     planes = []
     for c in parts:
-        blocks = _coefficients(c, frame.quant)
-        samples = inverse(blocks) if n == 8 else reduced_inverse(blocks, n)
-        rows, columns = samples.shape[:2]
-        plane = samples.swapaxes(1, 2).reshape(rows * n, columns * n)[: -(-c.height * n // 8), : -(-c.width * n // 8)]
-        whole = upsample(plane, Fraction(top_h, c.h), Fraction(top_v, c.v))
+        whole = upsample(_plane(c, frame.quant, n), Fraction(top_h, c.h), Fraction(top_v, c.v))
         # rounding may leave the last row or column of a ratio that isn't whole
-        planes.append(np.pad(whole, ((0, max(0, height - whole.shape[0])), (0, max(0, width - whole.shape[1]))), "edge")[:height, :width])
+        more = max(0, height - whole.shape[0]), max(0, width - whole.shape[1])
+        planes.append((np.pad(whole, ((0, more[0]), (0, more[1])), "edge") if any(more) else whole)[:height, :width])
     out = np.full((height, width, 4), 255, np.uint8)
     if len(planes) == 1:
         out[..., :3] = planes[0][..., None]
-    elif len(planes) == 3:
-        out[..., :3] = np.stack(planes, -1) if frame.adobe == 0 else _rgb(*planes)
-    else:
-        ink = _rgb(*planes[:3], cut=False) if frame.adobe == 2 else np.stack(planes[:3], -1)
-        out[..., :3] = clamped(ink * planes[3][..., None] / 255)
+        return out
+    for top in range(0, height, 32):  # a band at a time stays in the cache
+        band = [p[top : top + 32].astype(np.int32) for p in planes]
+        if len(band) == 3:
+            band = band if frame.adobe == 0 else [np.clip(v, 0, 255) for v in _rgb(*band)]
+        else:
+            band = [clamped(v * band[3] / 255) for v in (_rgb(*band[:3]) if frame.adobe == 2 else band[:3])]
+        for k, values in enumerate(band):
+            out[top : top + 32, :, k] = values
     return out
 
 
