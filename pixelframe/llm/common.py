@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: documents are kilobytes, so the default of 10,000 rows would be tens of megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of the parts in which functions take the Arrow batches that Spark sends (64 MB or 10,000 rows of them).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes that the vectorised word hashing takes at once; it needs about 40 bytes of memory for each.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,13 +32,90 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, and of at most about `size` bytes where they have more than one."""
+    for batch in batches:
+        left = [batch.slice(at, rows) for at in range(0, len(batch), rows)][::-1]
+        while left:
+            part = left.pop()
+            if len(part) > 1 and part.nbytes > size:
+                half = len(part) // 2
+                left += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def release() -> None:
+    """Gives freed memory back to the machine: Spark keeps Python workers for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_parts(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` on the parts of its batches; at the end of a partition what it freed goes back to the machine."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts(batches, rows))
+        finally:
+            release()
+
+    return each
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is run inside, where memory is tight; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which all executors see; where that is unset (tests), one under /tmp."""
+    """A new folder in spark.checkpoint.dir, which all executors see; only where that is unset and all runs on one machine
+    (tests), one under /tmp. It stays, as results are read from it, until `drop_folders`."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = got.get() if got.isDefined() else "file:///tmp/pixelframe-checkpoint"
-    return f"{top}/pixelframe-{uuid.uuid4().hex}"
+        if got.isDefined():
+            top = got.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            top = "file:///tmp/pixelframe-checkpoint"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    _folders.append(f"{top}/pixelframe-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def folders() -> int:
+    """How many folders there have been; `drop_folders` takes this for where to begin."""
+    return len(_folders)
+
+
+def folders_since(since: int) -> list[str]:
+    return _folders[since:]
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_folders(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders of intermediate tables made since then. Results not yet written that read them are lost."""
+    for folder in _folders[since:]:
+        drop(spark, folder)
+    del _folders[since:]
 
 
 def written(df: DataFrame, to: str) -> DataFrame:
@@ -67,6 +148,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def text_of(rows: pa.StructArray) -> pa.Array:
+    """The field text of whole rows, as strings."""
+    (name,) = [f.name for f in rows.type if f.name.lower() == "text"]  # as Spark finds columns
+    column = pa.compute.struct_field(rows, name)
+    return column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)

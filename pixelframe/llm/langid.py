@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import in_parts
 
 #: n-grams of a profile, documents a language is learnt from, longest n-gram.
 PROFILE, SAMPLE, LONGEST = 300, 1000, 3
@@ -96,7 +96,7 @@ def learn(documents: DataFrame, train: Column, sample: int = SAMPLE, size: int =
     parts = 1 << 20
     most = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, -(-sample * parts // n))))
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)) < most[F.col("lang")])
-    grams = some.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = some.select("lang", "text").mapInArrow(in_parts(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).orderBy("lang", "rank")
     ranked: dict[str, list[int]] = {}
@@ -107,12 +107,13 @@ def learn(documents: DataFrame, train: Column, sample: int = SAMPLE, size: int =
 
 def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred, score for each row of `documents` (doc_id, text; nothing else is read), from its whole text.
-    `und` with score 0 where the text is null, empty or without letters, or where no language was learnt."""
-    small_batches(documents.sparkSession)
+    `und` with score 0 where the text is null, empty or without letters, or where no language was learnt. Equal distances go
+    to the first language by name. Rows are judged each by itself: repeated ones get equal answers, null ids stay null; an
+    empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(in_parts(run), "doc_id long, lang_pred string, score double")

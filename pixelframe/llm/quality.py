@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, small_batches, utf8, word_hashes
+from .common import BATCH_ROWS, SPACE, batches_of, in_parts, shared_dir, text_of, utf8, word_hashes, written
 from .jaccard import shingles
 from .samples import fitted, labelled
 
@@ -170,22 +170,21 @@ class Quality:
 def _measured(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(*utf8(batch.column("text")))
+            x = statistics(*utf8(batch.column("text") if "text" in batch.schema.names else text_of(batch.column("row"))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.ascontiguousarray(x[:, c])) for c in range(len(STATISTICS))], names=keep + STATISTICS)
 
     return run
 
 
 def with_statistics(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns in `keep` and the STATISTICS of the column `text`."""
-    small_batches(rows.sparkSession)
+    """The columns in `keep` and the STATISTICS of the column `text`; without it, of the text in the struct `row`."""
     schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
-    return rows.mapInArrow(_measured(list(keep)), schema)
+    return rows.mapInArrow(in_parts(_measured(list(keep))), schema)
 
 
 def learn(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Quality:
-    """The model from about `sample` labelled documents for which `train` holds. Null labels are left out; without labels of
-    both kinds the score is a constant."""
+    """The model from about `sample` labelled documents for which `train` holds. Null labels are left out, null texts are empty,
+    repeated ids count once; without labels of both kinds (also: an empty table) the score is a constant."""
     rows = labelled(documents, labels, "quality", train, sample)
     measured = with_statistics(rows, "order", "doc_id", "label")
     return fitted(measured, lambda t: Quality.fit(np.stack([np.asarray(t.column(c)) for c in STATISTICS], 1), (np.asarray(t.column("label")) > 0).astype(float)))
@@ -193,13 +192,16 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, sample: int =
 
 def score(documents: DataFrame, model: Quality) -> DataFrame:
     """doc_id, score, predicted for each row of `documents` (doc_id, text; nothing else is read), from its whole text; null and
-    blank texts have statistics of zero."""
+    blank texts have statistics of zero. Rows are scored each by itself, so repeated ones get equal scores and null ids
+    stay null; an empty table gives an empty result."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = with_statistics(rows, "doc_id").withColumn("score", model.column())
     return scored.select("doc_id", "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
 def accepted(documents: DataFrame, model: Quality) -> DataFrame:
-    """The rows of `documents` that score ACCEPTED or more, with all their columns, whatever they are called."""
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return with_statistics(rows, "row").where(model.column() >= ACCEPTED).select("row.*")
+    """The rows of `documents` that score ACCEPTED or more, with all their columns, whatever they are called, in a new
+    shared folder; scores as in `score`."""
+    kept = with_statistics(documents.select(F.struct("*").alias("row")), "row").where(model.column() >= ACCEPTED).select("row.*")
+    with batches_of(documents.sparkSession, BATCH_ROWS):
+        return written(kept, f"{shared_dir(documents.sparkSession)}/accepted")

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, small_batches, utf8, word_spans
-from .samples import fitted, labelled
+from .common import BATCH_ROWS, batches_of, in_parts, mix, shared_dir, text_of, utf8, word_spans, written
+from .samples import BYTES, fitted, labelled
 
 #: Words of a window, of which the next one shares half; sizes of the vectors, the state and the attention.
 WINDOW, VECTOR, STATE, ATTENTION = 16, 8, 8, 8
-#: Buckets of character runs, known words at most, and labelled documents to learn from, about.
+#: Buckets of character runs, known words at most, and labelled documents to learn from, about (of samples.BYTES at most).
 RUNS, KNOWN, SAMPLE = 1 << 14, 1 << 15, 5000
 #: Which of a text's windows, from the highest, make its score, and the least logit that counts.
 RANKS, LEAST = (0, 2, 4, 6), -6.0
@@ -30,6 +30,7 @@ FORGET = 0.3
 #: Scores from here on are of label 1.
 REJECTED = 0.3
 CHUNK = 8192  # windows that go through the network at once
+SPELLED = 1 << 15  # words whose character runs are made at once
 
 #: Letters, digits and bytes beyond ASCII make words.
 _BETWEEN = np.ones(256, bool)
@@ -52,16 +53,20 @@ class Texts:
         hashes, begin, size = word_spans(data, offsets, _BETWEEN)
         word, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         n = size[first]
-        starts = np.cumsum(n + 2) - n - 2
-        padded = np.zeros(int((n + 2).sum()) + 2, np.int64)  # 0 stands before and after a word
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        byte = data[np.repeat(begin[first], n) + inner]
-        padded[np.repeat(starts + 1, n) + inner] = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
-        at = np.repeat(starts, n) + inner
-        three = (padded[at] * 257 + padded[at + 1]) * 257 + padded[at + 2]
-        five = np.where(inner + 2 < np.repeat(n, n), (three * 257 + padded[at + 3]) * 257 + padded[at + 4] + (1 << 40), three)
-        runs = mix(np.stack([three, five], 1).ravel().astype(np.uint64)) % np.uint64(RUNS)
-        return cls(code.astype(np.int32), np.searchsorted(begin, offsets), word, runs.astype(np.int32), 2 * (np.cumsum(n) - n))
+        runs = np.empty(2 * int(n.sum()), np.int32)
+        run_at = 2 * (np.cumsum(n) - n)
+        for a in range(0, len(word), SPELLED):
+            mine = n[a : a + SPELLED]
+            starts = np.cumsum(mine + 2) - mine - 2
+            padded = np.zeros(int((mine + 2).sum()) + 2, np.int64)  # 0 stands before and after a word
+            inner = np.arange(int(mine.sum())) - np.repeat(np.cumsum(mine) - mine, mine)
+            byte = data[np.repeat(begin[first[a : a + SPELLED]], mine) + inner]
+            padded[np.repeat(starts + 1, mine) + inner] = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+            at = np.repeat(starts, mine) + inner
+            three = (padded[at] * 257 + padded[at + 1]) * 257 + padded[at + 2]
+            five = np.where(inner + 2 < np.repeat(mine, mine), (three * 257 + padded[at + 3]) * 257 + padded[at + 4] + (1 << 40), three)
+            runs[run_at[a] : run_at[a] + 2 * len(at)] = mix(np.stack([three, five], 1).ravel().astype(np.uint64)) % np.uint64(RUNS)
+        return cls(code.astype(np.int32), np.searchsorted(begin, offsets), word, runs, run_at)
 
     def windows(self, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(document, first word) of each window; a text of no words has one, too."""
@@ -99,13 +104,14 @@ class Network:
         for side in "fb":
             self.p |= {f"w{side}": draw(2 * VECTOR, 3 * STATE), f"u{side}": draw(STATE, 3 * STATE), f"b{side}": np.zeros(3 * STATE, np.float32)}
 
-    def vectors(self, texts: Texts, numbers: np.ndarray) -> np.ndarray:
-        """Inputs of the distinct words, and zeros for no word as the last."""
-        out = np.zeros((len(texts.word) + 1, 2 * VECTOR), np.float32)
-        if len(texts.word):
-            out[:-1, :VECTOR] = self.p["words"][numbers]
-            count = np.diff(np.append(texts.run_at, len(texts.run)))
-            out[:-1, VECTOR:] = np.add.reduceat(self.p["runs"][texts.run], texts.run_at, axis=0) / count[:, None]
+    def vectors(self, texts: Texts, numbers: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Inputs of some distinct words in order, of which the last may be len(texts.word): no word, zeros."""
+        out = np.zeros((len(words), 2 * VECTOR), np.float32)
+        inner = words[words < len(texts.word)]
+        if len(inner):
+            out[: len(inner), :VECTOR] = self.p["words"][numbers[inner]]
+            buckets, count = texts.runs_of(inner)
+            out[: len(inner), VECTOR:] = np.add.reduceat(self.p["runs"][buckets], np.cumsum(count) - count, axis=0) / count[:, None]
         return out
 
     def states(self, side: str, projected: np.ndarray, real: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -133,12 +139,12 @@ class Network:
         return pool @ self.p["out"] + self.p["bias"][0], pool, weight, seen
 
     def logits(self, texts: Texts, numbers: np.ndarray, document: np.ndarray, first: np.ndarray) -> np.ndarray:
-        vectors = self.vectors(texts, numbers)
-        tables = {side: vectors @ self.p[f"w{side}"] + self.p[f"b{side}"] for side in "fb"}
         out = np.empty(len(document), np.float32)
         for a in range(0, len(document), CHUNK):
             code, real = texts.inputs(document[a : a + CHUNK], first[a : a + CHUNK])
-            states = np.concatenate([self.states(side, tables[side][code], real) for side in "fb"], 2)
+            used, local = np.unique(code, return_inverse=True)
+            vectors, local = self.vectors(texts, numbers, used), local.reshape(code.shape)
+            states = np.concatenate([self.states(side, (vectors @ self.p[f"w{side}"] + self.p[f"b{side}"])[local], real) for side in "fb"], 2)
             out[a : a + CHUNK] = self.pooled(states, real)[0]
         return out
 
@@ -325,31 +331,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def learn(documents: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Toxicity:
-    """The model from about `sample` labelled documents for which `train` holds. Null labels are left out, null texts are
-    empty; without labels of both kinds the score is a constant."""
-    rows = labelled(documents, labels, "toxic", train, sample).select("doc_id", "text", "label", "order")
+    """The model from about `sample` labelled documents for which `train` holds, of samples.BYTES at most, in one task. Null labels
+    are left out, null texts are empty, repeated ids count once; without labels of both kinds (also: an empty table) the
+    score is a constant."""
+    rows = labelled(documents, labels, "toxic", train, sample, BYTES).select("doc_id", "text", "label", "order")
     return fitted(rows, lambda t: fit(Texts.of(*utf8(t.column("text"))), (np.asarray(t.column("label")) > 0).astype(np.int64)))
 
 
-def _scored(documents: DataFrame, model: Toxicity, kept: Column) -> DataFrame:
-    """`kept` (named) and the score of each row."""
-    small_batches(documents.sparkSession)
-    rows = documents.select(kept, F.col("text").cast("string").alias("text"))
-    name = rows.columns[0]
+def score(documents: DataFrame, model: Toxicity) -> DataFrame:
+    """doc_id, score, predicted for each row of `documents` (doc_id, text; nothing else is read), from all windows of its whole
+    text, very long ones as well. Null and empty texts are one window without words. Rows are scored each by itself, so
+    repeated ones get equal scores and null ids stay null; an empty table gives an empty result."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(name), pa.array(model.scores(*utf8(batch.column("text"))))], names=[name, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(*utf8(batch.column("text"))))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[name], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(in_parts(run), "doc_id long, score double").withColumn("predicted", (F.col("score") >= REJECTED).cast("int"))
 
 
-def score(documents: DataFrame, model: Toxicity) -> DataFrame:
-    """doc_id, score, predicted for each row of `documents` (doc_id, text; nothing else is read), from all windows of its whole
-    text. Null and empty texts are one window without words."""
-    return _scored(documents, model, F.col("doc_id").cast("long").alias("doc_id")).withColumn("predicted", (F.col("score") >= REJECTED).cast("int"))
+def accepted(documents: DataFrame, model: Toxicity) -> DataFrame:
+    """The rows of `documents` that score below REJECTED, with all their columns, whatever they are called, in a new shared
+    folder; scores as in `score`."""
+    row = T.StructField("row", documents.schema, False)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.scores(*utf8(text_of(batch.column("row"))))
+            yield batch.filter(pa.array(score < REJECTED))
 
-def accepted(documents: DataFrame, model: Toxicity) -> DataFrame:
-    """The rows of `documents` that score below REJECTED, with all their columns, whatever they are called."""
-    return _scored(documents, model, F.struct("*").alias("row")).where(F.col("score") < REJECTED).select("row.*")
+    kept = documents.select(F.struct("*").alias("row")).mapInArrow(in_parts(run), T.StructType([row])).select("row.*")
+    with batches_of(documents.sparkSession, BATCH_ROWS):
+        return written(kept, f"{shared_dir(documents.sparkSession)}/accepted")
