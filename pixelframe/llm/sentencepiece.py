@@ -16,18 +16,21 @@ import heapq
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shared_dir, small_batches, written
+from .common import BATCH_ROWS, batches_of, in_parts, mix, shared_dir, written
 
 #: Characters of a chunk, and of texts that go in chunks.
 CHUNK, GIANT = 1 << 14, 1 << 16
-#: Distinct segments that a worker remembers.
-REMEMBERED = 800_000
+#: Bytes of segments and their ids that a worker remembers, and what one takes besides its characters.
+REMEMBERED, OVERHEAD = 32 << 20, 200
+#: Characters of a part up to which merges look through all neighbours.
+SHORT = 48
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).min // 4
 _LOWEST, _BITS, _MASK = -(1 << 20), 20, (1 << 20) - 1
@@ -39,18 +42,28 @@ _loaded: dict[str, Pieces] = {}
 
 
 class _Memory(dict):
-    """The ids of words, as bytes."""
+    """The ids of segments, as bytes: those asked for lately, in two generations of half of REMEMBERED."""
 
     def __init__(self, ids_of: Callable[[str], list[int]]):
         super().__init__()
-        self.ids_of = ids_of
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        self.ids_of, self.before, self.held = ids_of, {}, 0
+
+    def __missing__(self, segment: str) -> bytes:
+        got = self.before.get(segment)
+        if got is None:
+            got = _bytes(self.ids_of(segment))
+        self.held += OVERHEAD + len(segment) + len(got)
+        if 2 * self.held > REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        got = self[word] = _bytes(self.ids_of(word))
+            self.held = OVERHEAD + len(segment) + len(got)
+        self[segment] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.before, self.held = {}, 0
+
 
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes() if len(ids) > 8 else struct.pack(f"<{len(ids)}i", *ids)
@@ -107,15 +120,9 @@ class Pieces:
         unknown = min([scores[i] for i in normal], default=0) - 10
         # as many bits of the fraction as leave the sums of a chunk within 60
         highest = max([abs(scores[i]) for i in normal] + [abs(unknown)])
-        fraction = 1 << min(20, 60 - _BITS - CHUNK.bit_length() - int(highest).bit_length())
-        self.unknown = int(round(unknown * fraction)) << _BITS
-        #: Pieces, and (None) what some piece begins with.
-        self.arcs: dict[str, tuple[int, int, int] | None] = {}
-        for i in normal:
-            for k in range(1, len(self.names[i])):
-                self.arcs.setdefault(self.names[i][:k], None)
-        for i in normal:
-            self.arcs[self.names[i]] = (i, int(round(scores[i] * fraction)) << _BITS, int(low[i]) | 1)
+        self.fraction = 1 << min(20, 60 - _BITS - CHUNK.bit_length() - int(highest).bit_length())
+        self.unknown = int(round(unknown * self.fraction)) << _BITS
+        self.scored = [(i, scores[i], int(low[i]) | 1) for i in normal]
         self.longest = max((len(self.names[i]) for i in normal), default=1)
         #: Neighbours within some piece; between any others every path has a node.
         self.pairs = {self.names[i][k : k + 2] for i in normal for k in range(len(self.names[i]) - 1)}
@@ -137,6 +144,17 @@ class Pieces:
         self.merged = _Memory(self.merge)
         self.plain_types = _types(path) <= {1, 2, 3, 6}
 
+    @cached_property
+    def arcs(self) -> dict[str, tuple[int, int, int] | None]:
+        """Pieces, and (None) what some piece begins with."""
+        out: dict[str, tuple[int, int, int] | None] = {}
+        for i, _, _ in self.scored:
+            for k in range(1, len(self.names[i])):
+                out.setdefault(self.names[i][:k], None)
+        for i, score, low in self.scored:
+            out[self.names[i]] = (i, int(round(score * self.fraction)) << _BITS, low)
+        return out
+
     @classmethod
     def of(cls, path: str) -> Pieces:
         """The pieces, read once in each process."""
@@ -233,6 +251,24 @@ class Pieces:
         if not self.plain_types:
             raise ValueError("merges aren't read with pieces that are unused or the user's")
         ranks, n = self.ranks, len(text)
+        if n <= SHORT:
+            symbols, none = list(text), len(ranks)
+            pairs = [ranks.get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+            while pairs and (least := min(pairs)) < none:
+                k = pairs.index(least)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                del pairs[k]
+                if k:
+                    pairs[k - 1] = ranks.get(symbols[k - 1] + symbols[k], none)
+                if k < len(pairs):
+                    pairs[k] = ranks.get(symbols[k] + symbols[k + 1], none)
+            ids, out = self.ids, []
+            for symbol in symbols:
+                if (i := ids.get(symbol)) is not None:
+                    out.append(i)
+                else:
+                    out.extend(self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass"))
+            return out
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that begins at each place; 0: none does
         heap = [(rank, k, k + 2) for k in range(n - 1) if (rank := ranks.get(text[k : k + 2])) is not None]
         heapq.heapify(heap)
@@ -260,6 +296,10 @@ class Pieces:
         memory = self.merged if merges else self.memory
         return b"".join([memory[part] for part in self.segments(normalise(text or ""))])
 
+    def forget(self) -> None:
+        self.memory.forget()
+        self.merged.forget()
+
     def decode(self, ids: bytes) -> str:
         content = self.content
         text = b"".join([content[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
@@ -343,6 +383,19 @@ def cut_states(matrices: list[np.ndarray]) -> list[int]:
     return [0, *states[::-1]]
 
 
+def _reading(path: str, run: Callable[[Pieces, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` with the pieces, on parts of the batches; what was remembered goes at the end of a partition."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.of(path)
+        try:
+            yield from run(pieces, batches)
+        finally:
+            pieces.forget()
+
+    return in_parts(each)
+
+
 def _row(pieces: Pieces, text: str | None, ids: bytes, keep: bool) -> tuple:
     return (np.frombuffer(ids, "<i4") if keep else None, len(ids) // 4, hashlib.sha256(ids).hexdigest(), pieces.decode(ids) == (text or ""))
 
@@ -357,8 +410,7 @@ def _table(rows: list[tuple]) -> list[pa.Array]:
 
 
 def _whole(path: str, keep: bool, merges: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for uid, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -368,50 +420,46 @@ def _whole(path: str, keep: bool, merges: bool):
                     rows = []
             yield pa.RecordBatch.from_arrays(_table(rows), names=_NAMES)
 
-    return run
+    return _reading(path, run)
 
 
 def _cut(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = normalise(text)
                 for c, (part, n, place) in enumerate(cut(text, CHUNK, pieces)):
                     yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([doc_id], pa.int64()), pa.array([c], pa.int64()), pa.array([n], pa.int64()), pa.array([place], pa.int64()), pa.array([part], pa.string())], names=["uid", "doc_id", "chunk", "n", "place", "text"])
 
-    return run
+    return _reading(path, run)
 
 
 def _cut_apart(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for c, part in enumerate(cut_apart(normalise(text), CHUNK, pieces)):
                     yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([doc_id], pa.int64()), pa.array([c], pa.int64()), pa.array([part], pa.string()), pa.array([len(part)], pa.int64())], names=["uid", "doc_id", "chunk", "text", "n"])
 
-    return run
+    return _reading(path, run)
 
 
 def _merged(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [b"".join([pieces.merged[part] for part in pieces.segments(text)]) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "ids"])
 
-    return run
+    return _reading(path, run)
 
 
 def _matrices(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [pieces.transfer(*row).tobytes() for row in zip(*(batch.column(c).to_pylist() for c in ("text", "n", "place")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("chunk"), pa.array(found, pa.binary())], names=["uid", "chunk", "matrix"])
 
-    return run
+    return _reading(path, run)
 
 
 def _states(key: tuple, rows: pa.Table) -> pa.Table:
@@ -423,13 +471,12 @@ def _states(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _traced(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(path)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_bytes(pieces.best(*row)[0]) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "n", "start", "end", "place")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("chunk"), batch.column("text"), batch.column("n"), pa.array(found, pa.binary())], names=["uid", "doc_id", "chunk", "text", "n", "ids"])
 
-    return run
+    return _reading(path, run)
 
 
 def _joined(path: str, keep: bool):
@@ -449,8 +496,7 @@ def encode(documents: DataFrame, model: str, keep_ids: bool = True, giant: int =
     those that the library gives for the model, which are others if it is a BPE model. Characters without a piece become bytes. ids_sha256 is over them as little-endian 32-bit numbers; round_trip says whether they
     decode to the text again (a text that holds U+2581 reads a space there). Null and empty texts have no ids. Rows with
     equal ids are encoded apart; uid numbers them in the order read. Texts of more than `giant` characters go in chunks."""
-    spark = documents.sparkSession
-    small_batches(spark)
+    spark, folder = documents.sparkSession, shared_dir(documents.sparkSession)
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.length("text") > giant, F.lit(False))
     merges = own_rule and is_bpe(model)
@@ -458,22 +504,22 @@ def encode(documents: DataFrame, model: str, keep_ids: bool = True, giant: int =
     if merges:
         parts = rows.where(long).mapInArrow(_cut_apart(model), "uid long, doc_id long, chunk long, text string, n long").repartition("uid", "chunk")
         found = parts.mapInArrow(_merged(model), "uid long, doc_id long, chunk long, text string, n long, ids binary")
-        return whole.unionByName(found.groupBy("uid").applyInArrow(_joined(model, keep_ids), _ENCODED))
-    chunks = written(rows.where(long).mapInArrow(_cut(model), "uid long, doc_id long, chunk long, n long, place long, text string"), f"{shared_dir(spark)}/chunks")
+        with batches_of(spark, BATCH_ROWS):
+            return written(whole.unionByName(found.groupBy("uid").applyInArrow(_joined(model, keep_ids), _ENCODED)), f"{folder}/encoded")
+    chunks = written(rows.where(long).mapInArrow(_cut(model), "uid long, doc_id long, chunk long, n long, place long, text string"), f"{folder}/chunks")
     matrices = chunks.mapInArrow(_matrices(model), "uid long, chunk long, matrix binary")
     states = matrices.groupBy("uid").applyInArrow(_states, "uid long, chunk long, start long, end long")
     traced = chunks.join(states, ["uid", "chunk"]).select("uid", "doc_id", "chunk", "text", "n", "place", "start", "end").mapInArrow(_traced(model), "uid long, doc_id long, chunk long, text string, n long, ids binary")
-    return whole.unionByName(traced.groupBy("uid").applyInArrow(_joined(model, keep_ids), _ENCODED))
+    with batches_of(spark, BATCH_ROWS):
+        return written(whole.unionByName(traced.groupBy("uid").applyInArrow(_joined(model, keep_ids), _ENCODED)), f"{folder}/encoded")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The columns of `encoded` and `text` from its column ids; null ids give null."""
-    pieces_of = model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(pieces_of)
+    def run(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [None if ids is None else pieces.decode(_bytes(ids)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in (*encoded.dtypes, ("text", "string"))))
+    return encoded.mapInArrow(_reading(model, run), ", ".join(f"`{c}` {k}" for c, k in (*encoded.dtypes, ("text", "string"))))
