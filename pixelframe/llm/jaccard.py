@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mark, mix, shared_dir, small_batches, utf8, word_hashes, written
+from .common import BATCH_ROWS, batches_of, in_parts, mark, mix, shared_dir, utf8, word_hashes, written
 from .components import components
 
 #: Entries that a mapper gathers (with fewer than 2**16 documents), and entries that a block is planned for.
 GATHER, BLOCK = 2_000_000, 3_000_000
 #: Counts of a column above this sort alike.
 MOST = (1 << 15) - 1
+#: A column is common that a SHARE-th of the documents of a sample of about SAMPLE of them have, and LEAST of them. There are at
+#: most SHARE times as many of these as a document has columns. Which ones are found changes who counts them, not results.
+SAMPLE, SHARE, LEAST = 1 << 15, 512, 32
 #: Hubs of a column in a round; rounds before all pairs across components, unless these fall to so many an entry.
 HUBS, ROUNDS, WORTH = 4, 8, 2
 _ENTRIES = "uid long, doc_id long, mark long, n long, set1 long, set2 long, entries array<long>"
@@ -51,7 +54,31 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return mix(out), document
 
 
-def _blobs(k: int, blocks: int):
+def _tallied(k: int):
+    """Columns of a sample's documents, and in how many of a flush's documents each stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, document = shingles(*word_hashes(*utf8(batch.column("text"))), k)
+            key = np.unique((key >> np.uint64(16)) | (document.astype(np.uint64) << np.uint64(48)))
+            column, n = np.unique((key & np.uint64((1 << 48) - 1)).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(column[n > 1]), pa.array(n[n > 1])], names=["column", "n"])
+
+    return run
+
+
+def _common_columns(rows: DataFrame, k: int, n: int) -> np.ndarray:
+    """The common columns, in order: so few at any size that mappers may know them. Documents that have them are dealt by
+    themselves, so that such a column isn't gathered in its block."""
+    part = 1 << 20
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(part)) < min(part, -(-SAMPLE * part // max(n, 1))))
+    tallied = some.select("text").mapInArrow(in_parts(_tallied(k), 1 << 16), "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
+    with batches_of(rows.sparkSession, BATCH_ROWS):
+        found = tallied.where(F.col("n") >= max(LEAST, min(n, SAMPLE) // SHARE)).select("column").collect()
+    return np.sort(np.array([r[0] for r in found], np.uint64))
+
+
+def _blobs(k: int, blocks: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
             key = np.concatenate([p[0] + (np.uint64(base) << np.uint64(48)) for p, base in zip(parts, np.cumsum([0] + [len(p[1]) for p in parts[:-1]]), strict=True)])
@@ -69,6 +96,13 @@ def _blobs(k: int, blocks: int):
                 heads = np.searchsorted(document, have)
                 first[have] = np.add.reduceat(mix(key), heads)
                 second[have] = np.add.reduceat(mix(key ^ np.uint64(0xA5A5A5A5A5A5)), heads)
+            # entries in common columns go with the document: their columns count as the most frequent
+            own_key, own_document = key[:0], document[:0]
+            if len(common):
+                known = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
+                own_key, own_document, key, document = key[known], document[known], key[~known], document[~known]
+            own_at = np.searchsorted(own_document, np.arange(len(uid) + 1))
+            own_key = (own_key | (np.uint64(MOST) << np.uint64(48))).astype("<u8")
             block = (key % np.uint64(blocks)).astype(np.int64 if blocks > 1 << 15 else np.int16)
             order = np.argsort(block, kind="stable")
             cut = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -84,7 +118,9 @@ def _blobs(k: int, blocks: int):
                     count = np.bincount(np.searchsorted(docs, d), minlength=len(docs)).astype("<u4")
                     six = key[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                     rows[0].append(b)
-                    rows[1].append(b"".join((np.array([len(own), len(docs)], "<i8").tobytes(), *(about[k][own].astype(t).tobytes() for k, t in _HOME), uid[docs].tobytes(), count.tobytes(), six.tobytes())))
+                    held = np.diff(own_at)[own]
+                    mine = np.repeat(own_at[own] - np.cumsum(held) + held, held) + np.arange(int(held.sum()))
+                    rows[1].append(b"".join((np.array([len(own), len(mine), len(docs)], "<i8").tobytes(), *(about[k][own].astype(t).tobytes() for k, t in _HOME), held.astype("<i4").tobytes(), own_key[mine].tobytes(), uid[docs].tobytes(), count.tobytes(), six.tobytes())))
             for j in range(0, len(rows[0]), 8):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0][j : j + 8], pa.int32()), pa.array(rows[1][j : j + 8], pa.binary())], names=["block", "blob"])
 
@@ -113,18 +149,19 @@ def _blobs(k: int, blocks: int):
 
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
     """Entries of a block in columns of two or more rows, by document; the rarest columns sort first."""
-    homes, got, documents = [], [], 0
+    homes, commons, got, documents = [], [], [], 0
     for blob in rows.column("blob"):
         raw = blob.as_py()
-        at = 16
+        at = 24
 
         def field(kind: str, m: int) -> np.ndarray:
             nonlocal at
             at += m * np.dtype(kind).itemsize
             return np.frombuffer(raw, kind, m, at - m * np.dtype(kind).itemsize)
 
-        own, m = np.frombuffer(raw, "<i8", 2).tolist()
+        own, inside, m = np.frombuffer(raw, "<i8", 3).tolist()
         homes.append([field(kind, own) for _, kind in _HOME])
+        commons.append((field("<i4", own), field("<i8", inside)))
         uid, count = field("<i8", m), field("<u4", m)
         six = np.frombuffer(raw, np.uint8, -1, at).reshape(-1, 6)
         wide = np.zeros((len(six), 8), np.uint8)
@@ -147,10 +184,12 @@ def _block(key: tuple, rows: pa.Table) -> pa.Table:
     document, value = document[order], value[order]
     shown, first = np.unique(document, return_index=True)
     offsets = np.append(first, len(value)).astype(np.int32)
-    # rows at home here say what they are; the others only have entries
+    # rows at home here say what they are, with their entries in common columns; the others only have entries
     n, m = len(home["uid"]), len(shown)
     told = lambda name, mask=None: pa.array(np.append(home[name].view(np.int64), np.zeros(m, np.int64)), mask=np.append(np.zeros(n, bool) if mask is None else mask, np.ones(m, bool)))
-    entries = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n, np.int32), offsets)), pa.array(value))
+    inside, common = (np.concatenate([c[j] for c in commons]) for j in range(2))
+    places = np.concatenate([[0], np.cumsum(inside), offsets[1:] + len(common)]).astype(np.int32)
+    entries = pa.ListArray.from_arrays(pa.array(places), pa.array(np.append(common, value)))
     return pa.table({"uid": pa.array(np.append(home["uid"], uid[shown])), "doc_id": told("doc", home["null"] > 0), "mark": told("mark"), "n": told("n"), "set1": told("set1"), "set2": told("set2"), "entries": entries})
 
 
@@ -166,19 +205,19 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     apart in this result alone, common.mark of the text in any table); null ids come last and never name a component that has another. `first` marks one row of each
     component: the smallest doc_id's, then the smallest uid's."""
     spark = documents.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark)
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark(F.col("text")).alias("mark"))
     # words are at least a byte and a space, so this bounds a block's entries
-    letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(48, letters // (7 * BLOCK)))
-    blobs = rows.mapInArrow(_blobs(k, blocks), "block int, blob binary")
+    letters, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    blocks = int(max(48, (letters or 0) // (7 * BLOCK)))
+    blobs = rows.mapInArrow(in_parts(_blobs(k, blocks, _common_columns(rows, k, n_rows))), "block int, blob binary")
     entries = blobs.groupBy("block").applyInArrow(_block, _ENTRIES)
     whole = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "mark", "n", "set1", "set2")]
     all_rows = entries.groupBy("uid").agg(*whole, F.flatten(F.collect_list("entries")).alias("entries"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     fit = (F.size("entries") >= need) & (F.col("n") > 0)
-    kept = written(all_rows.select("uid", "doc_id", "mark", "n", "set1", "set2", F.when(fit, F.array_sort("entries")).alias("entries")), f"{folder}/rows")
+    with batches_of(spark, BATCH_ROWS):
+        kept = written(all_rows.select("uid", "doc_id", "mark", "n", "set1", "set2", F.when(fit, F.array_sort("entries")).alias("entries")), f"{folder}/rows")
     fits = kept.where(F.col("entries").isNotNull())
     same = ["n", "set1", "set2"]
     classes = written(fits.groupBy(*same).agg(F.min("uid").alias("c")), f"{folder}/classes")
@@ -229,7 +268,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         grouped = grouped.join(links.select(F.col("a").alias("c"), F.col("b").alias("root")), "c", "left").select("uid", "doc_id", F.coalesce("root", "c").alias("root"))
     else:
         grouped = grouped.withColumnRenamed("c", "root")
-    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least"))
+    # as tables of their own, so that a component of very many rows is split by the join
+    grouped = written(grouped, f"{folder}/grouped")
+    least = written(grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least")), f"{folder}/least")
     named = grouped.join(least, "root").select("uid", F.col("least.doc_id").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("first"))
     return kept.select("uid", "doc_id", "mark", F.col("n").alias("n_shingles")).join(named, "uid", "left").select("uid", "doc_id", "mark", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
