@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -140,7 +141,7 @@ def naive_hits(texts, items, window=10):
     return out
 
 
-def test_decontamination(spark, edges, edge_rows, nothing, prose):
+def test_decontamination(spark, edges, edge_rows, nothing, prose, monkeypatch):
     passage = prose(35, 70)
     items = [(1, passage), (2, "One"), (3, None), (4, ""), (5, prose(12, 1)), (6, prose(60, 1)), (7, "É中 \U0001f600"), (7, "a b c"), (10, passage + " " + passage), (11, "a a a a a a a a a a a a")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -152,6 +153,8 @@ def test_decontamination(spark, edges, edge_rows, nothing, prose):
     assert any(r.contaminated for r in got) and not all(r.contaminated for r in got)
     assert not any(r.contaminated for r in decontaminate.contamination(documents, benchmark.limit(0)).collect())
     assert decontaminate.contamination(nothing, benchmark).collect() == []
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    assert Counter(tuple(r) for r in decontaminate.contamination(documents, benchmark).collect()) == want
 
 
 def test_encoding(edges, edge_rows, nothing, monkeypatch):
@@ -169,10 +172,20 @@ def test_encoding(edges, edge_rows, nothing, monkeypatch):
     assert all(back[r[0]] == (r[1] or "") for r in edge_rows if r[0] is not None)
 
 
-def test_licences(edges, edge_rows, nothing):
+def test_licences(spark, edges, edge_rows, nothing, prose):
     got = licences.summary(licences.scan(edges)).collect()
-    assert len(got) == len(edge_rows) and all(r.n_blocks == 0 and r.n_matches == 0 and r.licenses == "" and r.best is None and not r.exact for r in got)
+    assert len(got) == len(edge_rows) and all(r.n_areas == 0 and r.n_matches == 0 and r.licenses == "" and r.best is None and not r.exact for r in got)
     assert licences.scan(nothing).collect() == []
+    # nulls beside matches, ties, repeated rows and ids, and a license deep in a very long text
+    two = "Released under the MIT License. Licensed under CC BY-NC 4.0."
+    rows = [(1, two), (1, two), (None, two), (2, None), (3, f"{prose(60_000, 1)} {licences.TEMPLATES['Zlib']} {prose(60_000, 2)}"), (4, f"é中{two}\x00{two}")]
+    got = licences.scan(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, matches string, uid string")).collect()
+    names = lambda r: sorted(m.license for m in r.matches)
+    assert Counter((r.doc_id, *names(r)) for r in got) == Counter([(1, "CC-BY-NC-4.0-statement", "MIT-statement")] * 2 + [(None, "CC-BY-NC-4.0-statement", "MIT-statement"), (2,), (3, "Zlib"), (4, *["CC-BY-NC-4.0-statement"] * 2, *["MIT-statement"] * 2)])
+    same = licences.scan(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"), {"b": "one two three", "a": "one two three"}).first()
+    assert [m.license for m in same.matches] == ["a", "b"]
+    with pytest.raises(ValueError):
+        licences.scan(nothing, {"empty": "..."})
 
 
 def test_archives(spark):
@@ -197,3 +210,76 @@ def test_vectors(spark):
     assert {r.query_id for r in got} == {0, 20}
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(none).collect() == []
+
+
+def test_very_large_and_small_vectors(spark):
+    """Squares of these overflow or vanish; products that do are infinite or zero, and tie."""
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) * (1e160 if i % 7 == 0 else 1e-170 if i % 11 == 0 else 1.0) for _ in range(4)]) for i in range(600)]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=64, block=100).collect()
+    for q, v in rows[::20]:
+        scores = []
+        for i, w in rows:
+            if i != q:
+                total = 0.0
+                for a, b in zip(v, w, strict=True):
+                    total += a * b
+                scores.append((math.isnan(total), -total, i))
+        found = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [f[1] for f in found] == [s[2] for s in sorted(scores)[:20]], q
+
+
+def test_session_settings_stay(spark, edges):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    build = [lambda: vptree.nearest(vectors), lambda: ngram_lm.score_documents(edges, F.lit(False)), lambda: langid.identify(edges, langid.learn(edges, F.lit(True))), lambda: sentencepiece.encode(edges, piece_model()), lambda: jaccard.near_duplicates(edges), lambda: warc.archive_and_read(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))]
+    seen = []
+    for order in (build, build[::-1]):
+        plans = []
+        for f in order:
+            plans.append(f())
+            assert spark.conf.get(name) == before
+        seen.append(sorted(sorted(map(repr, p.drop("uid").collect())) for p in plans))
+    assert seen[0] == seen[1] and spark.conf.get(name) == before
+
+
+def test_common_pairs_and_shingles(spark, prose, monkeypatch):
+    """A pair and a passage that all documents hold: scored and dealt by mappers, with the results of a grid alone."""
+    rows = [(i, f"{prose(30, i)} all of us say this very sentence here {prose(20, 2 * i + 1)}") for i in range(1500)] + [(5000 + i, prose(40, i % 3)) for i in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    read = documents.selectExpr("monotonically_increasing_id() uid", "doc_id", "text", "xxhash64(text) mark")
+    pairs = ngram_lm._common_pairs(read, len(rows))
+    assert 8 <= len(pairs) < 2000 and 4 <= len(jaccard._common_columns(read, 5, len(rows))) < 2000
+    held = F.col("doc_id") % 5 == 0
+    score = lambda: {r.doc_id: r for r in ngram_lm.score_documents(documents, held).collect()}
+    group = lambda: sorted((r.doc_id, r.component_id, r.n_shingles, r["first"]) for r in jaccard.near_duplicates(documents, 5, 80).collect())
+    dealt, grouped = score(), group()
+    monkeypatch.setattr(ngram_lm, "LEAST", 1 << 40)
+    monkeypatch.setattr(jaccard, "LEAST", 1 << 40)
+    plain = score()
+    assert grouped == group()
+    assert {k: r[:5] for k, r in dealt.items()} == {k: r[:5] for k, r in plain.items()}
+    assert all(math.isclose(r.base_score, plain[k].base_score, rel_tol=1e-9) and math.isclose(r.score, plain[k].score, rel_tol=1e-4) for k, r in dealt.items())
+
+
+def test_pipeline(spark, edges, edge_rows, nothing, tmp_path, prose):
+    """All stages on nulls, ties, repeated rows, very long texts and clashing names, and on an empty table."""
+    import corpus_pipeline as pipeline
+
+    labels = spark.createDataFrame([(6, 1, 0), (8, 1, 0), (9, 0, 1), (11, 0, 1), (4, 1, 0), (12, 0, 1)], "doc_id long, quality int, toxic int")
+    extra = "text string, uid string, item_id long, mark long, anchor string"
+    benchmark = spark.createDataFrame([(prose(12, 1), "u", 1, 2, "x"), (None, "u", 2, 2, "x")], extra)
+    for name, docs, n in (("rows", edges, None), ("none", nothing, 0)):
+        folder = f"file://{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        got = pipeline.run(spark, folder).collect()
+        assert n is None or len(got) == n
+        assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+        for _, stage in pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, folder)
+            assert kept.columns == docs.columns and kept.count() <= docs.count()
+    kept = Counter(r.doc_id for r in pipeline.clean(spark, edges, f"file://{tmp_path}/rows").collect())
+    assert kept == Counter(r[0] for r in edge_rows if r[1] != prose(60, 1))

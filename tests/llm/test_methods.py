@@ -260,19 +260,34 @@ def test_products_combine_in_any_order():
     assert (p(p(a, b), c) == p(a, p(b, c))).all()
 
 
-def test_licences_found():
+def test_licences_found(prose):
     scanner = licences.Scanner()
+    assert len(licences.TEMPLATES) >= 80
     for name, text in licences.TEMPLATES.items():
-        (block,) = licences.blocks(f"prose before\n{text}\nprose after")
-        found = scanner.scan_block(*block)
-        assert name in [m.license for m in found], name
-        (own,) = [m for m in found if m.license == name]
-        assert own.missing == 0 and own.reduction > 0.2
-    changed = licences.TEMPLATES["MIT"].replace("substantial", "considerable")
-    (own,) = [m for m in scanner.scan(licences.plain(changed)) if m.license == "MIT"]
-    assert own.missing == 1 and own.added == 1
-    for other in ("this line has a licence to be dull", "free software is nice, says the warranty card of my kettle"):
-        assert all(not scanner.scan_block(*b) for b in licences.blocks(other))
+        (own,) = [m for m in scanner.scan_text(f"prose before\n{text}\nprose after") if m.license == name]
+        assert own.missing == 0 and own.added == 0 and own.reduction > 0.2
+        if len(words := text.split()) >= 20:  # a few words less or more, here and there
+            changed = words[:3] + words[4:10] + ["another"] + words[10:]
+            (own,) = [m for m in scanner.scan_text(f"{prose(40, 5)} {' '.join(changed)} {prose(40, 6)}") if m.license == name]
+            assert 1 <= own.missing <= 3 and own.added <= 1 + own.missing
+    for other in ("this line has a licence to be dull", "free software is nice, says the warranty card of my kettle", ""):
+        assert scanner.scan_text(other) == []
+
+
+def test_licences_against_all_places(spark, prose):
+    """Anchors lose nothing: every template over the whole of every text finds the same."""
+    scanner, n = licences.Scanner(), 0
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text or "") < 6000][:150]
+    names = list(licences.TEMPLATES)
+    texts += [f"{prose(30, i)} {' '.join(w for k, w in enumerate(licences.TEMPLATES[names[i]].split()) if k % 11 != i % 7)} {prose(30, i)}" for i in range(len(names))]
+    for text in texts:
+        raw = (text or "").encode()
+        _, begin, size = licences.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), licences._BETWEEN)
+        every = scanner.scan(raw, begin, size, [(name, 0, len(begin)) for name in names])
+        key = lambda m: (m.license, m.missing, m.added)
+        assert sorted(map(key, scanner.scan_text(text or ""))) == sorted(map(key, every)), text
+        n += len(every)
+    assert n > 50
 
 
 UNLICENSE = """This is free and unencumbered software released into the public domain.
@@ -291,26 +306,19 @@ def test_licences_wrapped(prose):
     import textwrap
 
     scanner = licences.Scanner()
-
-    def found(text):
-        around = f"{prose(300, 1)}\n{text}\n{prose(300, 2)}"
-        return {m.license for area in licences.areas(around) for m in scanner.scan(area)}
-
-    assert "Unlicense" in found(UNLICENSE)
+    found = lambda text: {m.license for m in scanner.scan_text(f"{prose(300, 1)}\n{text}\n{prose(300, 2)}")}
+    assert {"Unlicense"} <= found(UNLICENSE)
     for name, text in licences.TEMPLATES.items():
-        for width in (40, 50, 60, 72, 80):
-            for indent in ("", "# "):
-                assert name in found(textwrap.fill(text, width, initial_indent=indent, subsequent_indent=indent)), (name, width)
-    assert len(licences.areas(f"license {prose(300, 1)} copyright {prose(20, 2)} warranty")) == 2 and licences.areas(prose(50, 1)) == []
+        for width, indent in ((40, ""), (60, "# "), (80, " * ")):
+            assert name in found(textwrap.fill(text, width, initial_indent=indent, subsequent_indent=indent, break_on_hyphens=False, break_long_words=False)), (name, width)
 
 
-@pytest.mark.parametrize("size", [100, 600, 1300])
+@pytest.mark.parametrize("size", [100, 1300])
 def test_licences_in_long_lines(prose, size):
     scanner = licences.Scanner()
     for name, text in licences.TEMPLATES.items():
         line = f"{prose(size, 1)} license {prose(size // 9, 3)} {' '.join(text.split())} {prose(size // 9, 4)} license {prose(size, 2)}"
-        assert name in {m.license for m in scanner.scan(licences.plain(line))}, name
-        assert name in {m.license for area in licences.areas(line) for m in scanner.scan(area)}, name
+        assert name in {m.license for m in scanner.scan_text(line)}, name
 
 
 def test_licences_together(prose):
@@ -322,23 +330,14 @@ the Free Software Foundation; either version 2 of the License, or
     grant = "Permission" + licences.TEMPLATES["MIT"].split("Permission", 1)[1]
     statement = licences.TEMPLATES["MIT-statement"]
     for first, second, want in ((statement, gpl, {"MIT-statement", "GPL-2.0"}), (statement, grant, {"MIT-statement", "MIT"})):
-        text = f"{first}\n\n{second}"
-        (block,) = licences.blocks(text)
-        assert want <= {m.license for m in scanner.scan_block(*block)}
-        assert want <= {m.license for area in licences.areas(text) for m in scanner.scan(area)}
-        assert all(m.missing == 0 for m in scanner.scan_block(*block) if m.license in want)
+        found = scanner.scan_text(f"{first}\n\n{second}")
+        assert want <= {m.license for m in found} and all(m.missing == 0 for m in found if m.license in want)
     for between in (0, 3, 12, 40, 300):
         text = f"{statement} {prose(between, 1)} {statement} {prose(between, 2)} {gpl} {prose(between, 3)} {statement} program this released"
-        found = [m for area in licences.areas(text) for m in scanner.scan(area)]
+        found = scanner.scan_text(text)
         assert sum(m.license == "MIT-statement" for m in found) == 3 and sum(m.license == "GPL-2.0" for m in found) == 1
-    assert [m.missing for m in scanner.scan(licences.plain(f"permission {prose(60, 1)} {grant.split(maxsplit=1)[1]}")) if m.license == "MIT"] == [1]
-
-
-def test_licence_blocks():
-    gap = "\n".join(["copyright a", *["x " * 20] * licences.GAP, "license b", *["y " * 20] * (licences.GAP + 1), "warranty c"])
-    assert [b[:9] + "|" + b[-9:] for b, _ in licences.blocks(gap)] == ["copyright|license b", "warranty |arranty c"] and licences.blocks(gap)[1][1].startswith("y y")
-    long = licences.windows(licences.blocks("license " + "w " * 20_000)[0][0])
-    assert len(long) > 2 and "".join(b[: licences.WINDOW // 2] for b in long[:-1]).startswith("license w w")
+    text = f"permission {prose(60, 1)} {grant.split(maxsplit=1)[1]}"
+    assert [m.missing for m in scanner.scan_text(text) if m.license == "MIT"] == [1]
 
 
 def test_bundles():
@@ -384,3 +383,129 @@ def test_pipeline_keeps_rows_without_ids_or_texts(spark, prose):
         got = sorted(r.source for r in stage(spark, docs, "/root/testdata/sf0.001").collect())
         assert [x for x in got if x not in "fg" or sources == "abcdefghi"] == list(sources)
         assert len(got) == len(sources) + (stage is pipeline.different)
+
+
+def test_language_against_all_ranks(spark):
+    """The query against the definition, n-gram by n-gram, on whole texts."""
+    import zlib
+    from collections import Counter
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.lang, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+
+    def counts(text):
+        out, word = Counter(), ""
+        for c in text.lower() + " ":
+            if c.isalpha():
+                word += c
+                continue
+            padded = f"\1{word}\1"
+            for n in (1, 2, 3) if word else ():
+                out.update(p for p in (padded[i : i + n] for i in range(len(padded) - n + 1)) if p.strip("\1"))
+            word = ""
+        return out
+
+    def ranked(c):
+        key = lambda g: sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
+        return sorted(c, key=lambda g: (-c[g], key(g)))[:300]
+
+    learnt = {}
+    for doc_id, lang, text in rows:
+        if lang is not None and zlib.crc32(str(doc_id).encode()) % 5:
+            learnt.setdefault(lang, Counter()).update(counts(text))
+    profiles = {k: {g: i for i, g in enumerate(ranked(c))} for k, c in learnt.items()}
+    got = {r.doc_id: r for r in queries()["op2_language_id"](spark, folder).collect()}
+    for doc_id, _, text in rows:
+        grams = ranked(counts(text))
+        distance = {k: sum(min(abs(i - p[g]), 300) if g in p else 300 for i, g in enumerate(grams)) for k, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert got[doc_id].lang_pred == (best if grams else "und")
+        assert abs(got[doc_id].score - (1 - distance[best] / (300 * len(grams)) if grams else 0)) < 1e-9
+
+
+def test_quality_scores_against_rules(spark):
+    """The query's column expression against rules held by hand over statistics counted by hand."""
+    from pixelframe.llm.common import remainder, table
+
+    folder = "/root/testdata/sf0.001"
+    documents = table(spark, folder, "documents")
+    model = quality.learn(documents, table(spark, folder, "labels"), remainder("doc_id", 5) > 0)
+    got = {r.doc_id: r for r in queries()["op3_quality"](spark, folder).collect()}
+    for r in documents.collect():
+        text = r.text or ""
+        words = [w for w in "".join(c if c not in "\t\n\v\f\r " else " " for c in text).split(" ") if w]
+        low = ["".join(c.lower() if c.isascii() else c for c in w).encode() for w in words]
+        raw = [b for b in text.encode() if b not in (9, 10, 11, 12, 13, 32)]
+        n, size = len(words), max(len(raw), 1)
+        is_ = lambda f: sum(map(f, raw))
+        letters, upper = is_(lambda b: chr(b).isalpha() and b < 128), is_(lambda b: 65 <= b <= 90)
+        stops, marks = is_(lambda b: chr(b) in ".,;:?'\"()-"), is_(lambda b: 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:?'\"()-!|")
+        triples = [tuple(low[i : i + 3]) for i in range(max(n - 2, min(n, 1)))]
+        x = np.array([[np.log1p(n), size / max(n, 1), letters / size, upper / max(letters, 1), is_(lambda b: 48 <= b < 58) / size, stops / size, marks / size, is_(lambda b: b == 33) / size, is_(lambda b: b == 124) / size, is_(lambda b: b > 127) / size, text.count("\n") / max(n, 1), len(set(low)) / max(n, 1), sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(n, 1), len(set(triples)) / max(len(triples), 1), max((low.count(w) for w in set(low)), default=0) / max(n, 1)]]) if n else np.zeros((1, 15))
+        want = 1 / (1 + np.exp(-model.margin(x)[0]))
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.3)
+
+
+def test_toxicity_against_single_windows(spark):
+    """The query against the network on one window and one word at a time, with the gates written out."""
+    from pixelframe.llm.common import remainder, table
+
+    folder = "/root/testdata/sf0.001"
+    documents = table(spark, folder, "documents")
+    model = toxicity.learn(documents, table(spark, folder, "labels"), remainder("doc_id", 4).isin(0, 1, 3))
+    net, sigmoid = model.network.p, lambda x: 1 / (1 + np.exp(-x))
+    got = {r.doc_id: r for r in queries()["op9_toxicity"](spark, folder).collect()}
+    s = toxicity.STATE
+
+    def logit(vectors):
+        states = []
+        for side, order in (("f", 1), ("b", -1)):
+            h, out = np.zeros(s), []
+            for x in vectors[::order]:
+                a, hu = x @ net[f"w{side}"] + net[f"b{side}"], h @ net[f"u{side}"]
+                z, r = sigmoid(a[:s] + hu[:s]), sigmoid(a[s : 2 * s] + hu[s : 2 * s])
+                h = (1 - z) * np.tanh(a[2 * s :] + r * hu[2 * s :]) + z * h
+                out.append(h)
+            states.append(out[::order])
+        both = np.hstack(states) if len(vectors) else np.zeros((0, 2 * s))
+        weight = np.exp(np.tanh(both @ net["mix"]) @ net["ask"])
+        pool = (weight[:, None] * both).sum(0) / max(weight.sum(), 1e-9)
+        return pool @ net["out"] + net["bias"][0]
+
+    for r in documents.limit(60).collect():
+        texts = toxicity.Texts.of(*utf8(__import__("pyarrow").array([r.text])))
+        numbers = model.numbers(texts)
+        inputs = [np.concatenate([net["words"][numbers[w]], net["runs"][texts.runs_of(np.array([w]))[0]].mean(0)]) for w in range(len(texts.word))]
+        words, logits = [inputs[c] for c in texts.code], []
+        first = 0
+        while True:
+            logits.append(logit(np.array(words[first : first + 16])))
+            if first + 16 >= len(words):
+                break
+            first += 8
+        top = sorted(logits, reverse=True)
+        features = [np.clip(top[k], -6, 12) if k < len(top) else -6.0 for k in (0, 2, 4, 6)]
+        want = sigmoid(np.dot(features, model.weights[:-1]) + model.weights[-1])
+        assert abs(got[r.doc_id].score - want) < 1e-3, r.doc_id
+
+
+def test_samples_and_folders(spark):
+    from pyspark.sql import functions as F
+
+    from pixelframe.llm import common, samples
+
+    docs = spark.createDataFrame([*((i, "x" * (100 + i)) for i in range(200)), (5, "zz"), (5, "aa"), (None, "y"), (300, "z" * 5000), (301, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(302)), (7, 0), (8, None), (None, 1)], "doc_id long, quality int")
+    every = samples.labelled(docs, labels, "quality", F.lit(True), 1000).collect()
+    assert sorted(r.doc_id for r in every) == [*range(200), 300, 301] and {r.doc_id: r.text for r in every}[5] == "aa"
+    assert {r.doc_id: r.label for r in every}[7] == 0
+    since = common.folders()
+    some = samples.labelled(docs, labels, "quality", F.lit(True), 1000, 16_000).collect()
+    first = sorted((r for r in every if r.doc_id != 300), key=lambda r: r.order)[: len(some)]
+    assert 0 < len(some) < 150 and sum(len(r.text) for r in some) <= 16_000 and {r.doc_id for r in some} == {r.doc_id for r in first}
+    (folder,) = common._folders[since:]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = lambda: path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert there()
+    common.drop_folders(spark, since)
+    assert not there() and common.folders() == since
