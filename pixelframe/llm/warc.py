@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import BATCH_ROWS, batches_of, in_parts, shared_dir, written
 
 SEEK_FRAME, RECORD_FRAME, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: Bytes of records in a frame, and of compressed frames in a bundle.
@@ -161,7 +161,9 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     bytes, the one with the smallest page_id (null ids last, then the first read) is no revisit."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("uid")).withColumns({"digest": F.unhex(F.sha1("html")), "length": F.octet_length("html").cast("long")})
-    first = rows.where(F.col("length") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "uid")).alias("first"))
+    alike = rows.where(F.col("length") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "uid")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # as a table of its own, so that a digest with very many rows is split by the join
+    first = written(alike.where("n > 1").select("digest", "first"), f"{shared_dir(pages.sparkSession)}/repeated")
     revisit: Column = F.coalesce((F.col("length") >= least) & (F.col("first.uid") != F.col("uid")), F.lit(False))
     met = rows.join(first, "digest", "left").withColumn("revisit", revisit)
     return met.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "revisit", F.when(F.col("revisit"), F.col("first.page_id")).alias("refers_to"), "digest", "length")
@@ -172,10 +174,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     the manifest (path, records, bytes). Null html is an empty payload, null urls are left out of the record. Bundles
     that the manifest doesn't name come from attempts that were lost."""
     spark = pages.sparkSession
-    small_batches(spark)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{root}/bundles", recursive=True)
-    with_revisits(pages, least).mapInArrow(_writer(f"{folder}/bundles"), _MANIFEST).write.parquet(f"{folder}/manifest")
+    with batches_of(spark, BATCH_ROWS):
+        with_revisits(pages, least).mapInArrow(in_parts(_writer(f"{folder}/bundles")), _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -201,15 +203,18 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the bundles that the manifest names; payloads are held against their digests."""
     spark = manifest.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a row is a bundle
     if manifest.isEmpty():
         return spark.createDataFrame([], _RECORD)
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{folder}/bundles")
     named = content.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest.select(F.col("path").alias("name")), "name", "left_semi")
-    return named.select("content").mapInArrow(_reader, _RECORD)
+    return named.select("content").mapInArrow(in_parts(_reader, 1), _RECORD)
 
 
 def archive_and_read(pages: DataFrame, least: int = 0) -> DataFrame:
+    """What `read_archives` gives of the archives of `pages` (page_id, url, html; nothing else is read), written to a new shared
+    folder: a row for each row, of repeated ones too. Null and empty html are equal empty payloads. Pages without an id, and
+    pages that share one, share a record identifier: all come back, but `BundleReader.get` gives the first of a bundle.
+    Of equal payloads the smallest id is the response, then the first read. An empty table gives an empty result."""
     folder = shared_dir(pages.sparkSession)
     return read_archives(write_archives(pages, folder, least), folder)
 
