@@ -19,8 +19,8 @@ from .common import mark, shared_dir, written
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bits of the bitmap of words; fuller ones only let more words through to the join.
 BITS = 1 << 20
-#: Anchors that may be broadcast; each takes a few hundred bytes. More are joined by shuffling.
-BROADCAST_ANCHORS = 50_000
+#: Bytes of anchors, with the words around them, that may be broadcast. More are joined by shuffling.
+BROADCAST = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -87,7 +87,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     if not 1 <= window:
         raise ValueError("window must be at least 1")
     index = written(anchors(documents, benchmark, window), f"{shared_dir(documents.sparkSession)}/anchors")
-    n = index.count()
+    letters = F.octet_length(F.concat_ws(" ", "anchor", "left", "right"))
+    small = (index.agg(F.sum(letters + 200)).first()[0] or 0) <= BROADCAST
     held = _bitmap(index, "anchor")
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", mark(F.col("text")).alias("mark"), words(F.col("text")).alias("w"))
     w = F.col("w")
@@ -96,7 +97,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     candidates = rows.select("uid", "doc_id", "mark", F.size(w).cast("long").alias("n_words"), F.explode_outer(places).alias("c"))
     # words hold no blank, so a row without a candidate has a key of its own that meets nothing
     candidates = candidates.select("uid", "doc_id", "mark", "n_words", F.col("c.at").alias("at"), F.coalesce("c.anchor", F.concat(F.lit(" "), F.col("uid").cast("string"))).alias("anchor"), F.col("c.left").alias("l"), F.col("c.right").alias("r"))
-    met = candidates.join(F.broadcast(index) if n <= BROADCAST_ANCHORS else index, "anchor", "left")
+    met = candidates.join(F.broadcast(index) if small else index, "anchor", "left")
     before, after = _agree(F.col("l"), F.col("left")), _agree(F.col("r"), F.col("right"))
     met = met.withColumn("before", before).withColumn("after", after).withColumn("hit", F.coalesce(F.col("before") + F.col("after") + 1 >= F.col("need"), F.lit(False)))
     run = F.when(F.col("hit"), F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("after")).alias("b")))
