@@ -13,17 +13,21 @@ import tempfile
 import numpy as np
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Places or values that are looked up at once, so that what is worked out for them stays in a core's cache.
+AT_ONCE = 1 << 14
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """`bits` low bits of each value, end to end in 64-bit words; one spare word at the end."""
     out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
-    if bits and len(values):
-        at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
+    for i in range(0, len(values) if bits else 0, AT_ONCE):  # begins with a word of its own
+        part, to = values[i : i + AT_ONCE], out[i * bits // 64 :]
+        at = np.arange(len(part), dtype=np.uint64) * np.uint64(bits)
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(out, word, values << shift)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        to[word[first]] = np.bitwise_or.reduceat(part << shift, first)
         over = shift + np.uint64(bits) > np.uint64(64)
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (np.uint64(64) - shift[over]))
+        to[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])  # one value at most reaches into a word
     return out
 
 
@@ -40,10 +44,11 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         low = _pack(values & np.uint64((1 << bits) - 1), bits)
-        upper = (values >> np.uint64(bits)).astype(np.int64)
+        upper = (values >> np.uint64(bits)).view(np.int64)
         length = n + (int(upper[-1]) if n else 0) + 2
         flags = np.zeros(-(-length // 64) * 64, np.uint8)
-        flags[upper + np.arange(n)] = 1
+        upper += np.arange(n)
+        flags[upper] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
         count = np.bitwise_count(high).astype(np.int64)
         ones = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
@@ -85,11 +90,15 @@ class EliasFano:
         at = np.asarray(at, np.int64)
         if not len(at):
             return np.zeros(0, np.int64)
+        if len(at) > AT_ONCE:
+            return np.concatenate([self.access(at[i : i + AT_ONCE]) for i in range(0, len(at), AT_ONCE)])
         return ((self._select(at, False) - at) << self.bits) | self._lows(at)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """Successor search: the first place whose value is at least that; n where there is none."""
         value = np.asarray(value, np.int64)
+        if len(value) > AT_ONCE:
+            return np.concatenate([self.find(value[i : i + AT_ONCE]) for i in range(0, len(value), AT_ONCE)])
         out = np.full(len(value), self.n, np.int64)
         if not self.n or not len(value):
             return out
@@ -155,29 +164,29 @@ class NgramTrie:
     def __init__(self, width: int, bits: int = 16):
         self.width, self.bits = width, bits
         self.levels: list[tuple[EliasFano, EliasFano]] = []
-        self.codes: list[np.ndarray] = []
-        self.quantisers: list[Quantiser] = []
+        self.codes: list[list[np.ndarray]] = []
+        self.quantisers: list[list[Quantiser]] = []
 
-    def add_level(self, grams: np.ndarray, values: np.ndarray) -> None:
-        """grams: rows of word numbers, without repeats, in lexicographic order; values: a number for each."""
+    def add_level(self, grams: np.ndarray, values: np.ndarray, *more: np.ndarray, places: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """grams: rows of word numbers, without repeats, in lexicographic order; values and more: numbers for each.
+        places: where the builder knows them, each gram's prefix in the level above and its last word as named there."""
         k = grams.shape[1]
-        parents = grams[:, 0] if k == 2 else self.nodes(grams[:, :-1])
+        parents, name = places or (grams[:, 0] if k == 2 else self.nodes(grams[:, :-1]), self._relative(grams))
         if len(parents) and parents.min() < 0:
             raise ValueError("an n-gram's prefix is missing from the level above")
-        name = self._relative(grams)
-        above = self.width if k == 2 else len(self.codes[-1])
+        above = self.width if k == 2 else len(self.codes[-1][0])
         counts = np.bincount(parents, minlength=above) if len(parents) else np.zeros(above, np.int64)
         pointers = np.concatenate([[0], np.cumsum(counts)])
         last = np.zeros(above, np.int64)
         ends = pointers[1:][counts > 0] - 1
         last[counts > 0] = name[ends] + 1
         base = np.concatenate([[0], np.cumsum(last)])[:-1]
-        quantiser = Quantiser(values, self.bits)
+        quantisers = [Quantiser(v, self.bits) for v in (values, *more)]
         parts = [EliasFano.build(pointers), EliasFano.build(base[parents] + name + 1)]
-        views = iter(mapped([a for p in parts for a in p.arrays()] + [quantiser.code(values)]))
+        views = iter(mapped([a for p in parts for a in p.arrays()] + [q.code(v) for q, v in zip(quantisers, (values, *more), strict=True)]))
         self.levels.append(tuple(EliasFano(p.n, p.bits, *(next(views) for _ in range(4))) for p in parts))
-        self.codes.append(next(views))
-        self.quantisers.append(quantiser)
+        self.codes.append(list(views))
+        self.quantisers.append(quantisers)
 
     def _relative(self, grams: np.ndarray) -> np.ndarray:
         """Each gram's last word, as named in its level; -1 where the suffix isn't in the trie."""
@@ -195,15 +204,23 @@ class NgramTrie:
             return grams[:, 0].astype(np.int64)
         parents = self.nodes(grams[:, :-1])
         name = self._relative(grams)
-        return self._children(k, parents, name)
+        return self.children(k, parents, name)
 
-    def _children(self, k: int, parents: np.ndarray, name: np.ndarray) -> np.ndarray:
+    def children(self, k: int, parents: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The places in level k of the children with these names of nodes of the level above, or -1."""
         pointers, children = self.levels[k - 2]
+        if len(parents) > 4 * AT_ONCE:
+            return np.concatenate([self.children(k, parents[i : i + 4 * AT_ONCE], name[i : i + 4 * AT_ONCE]) for i in range(0, len(parents), 4 * AT_ONCE)])
         out = np.full(len(parents), -1, np.int64)
         known = np.flatnonzero((parents >= 0) & (name >= 0))
         if not len(known) or not children.n:
             return out
-        each, back = np.unique(parents[known], return_inverse=True)
+        mine = parents[known]
+        if (mine[1:] >= mine[:-1]).all():
+            new = np.diff(mine, prepend=-1) > 0
+            each, back = mine[new], np.cumsum(new) - 1
+        else:
+            each, back = np.unique(mine, return_inverse=True)
         begin, end = pointers.access(each), pointers.access(each + 1)
         base = np.where(begin > 0, children.access(np.maximum(begin - 1, 0)), 0)
         want = base[back] + name[known] + 1
@@ -213,5 +230,6 @@ class NgramTrie:
         out[known[fits]] = at[fits]
         return out
 
-    def values(self, k: int, nodes: np.ndarray) -> np.ndarray:
-        return self.quantisers[k - 2].value(self.codes[k - 2][nodes])
+    def values(self, k: int, nodes: np.ndarray, which: int = 0) -> np.ndarray:
+        """The values of nodes of level k; which: of those that the level was given."""
+        return self.quantisers[k - 2][which].value(self.codes[k - 2][which][nodes])

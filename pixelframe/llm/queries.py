@@ -12,7 +12,7 @@ from .common import remainder, table
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), ngram_lm.held_out_rows())
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), ngram_lm.held_out_rows(), order=3)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelframe.llm import decontaminate, jaccard, langid, licences, ngram_lm, quality, sentencepiece, toxicity, vptree, warc
-from pixelframe.llm.queries import piece_model
+from pixelframe.llm.queries import piece_model, queries
 
 
 def words(text):
@@ -45,6 +45,57 @@ def test_language_model(edges, edge_rows, nothing):
     assert len(unknown) == len(edge_rows) and all(r.n_known == 0 and r.score == pytest.approx(0) for r in unknown)
 
 
+def triple_scores(rows, share=0.5, strength=2.0):
+    """(held out, text) rows scored by brute force: a pair's probability in that of a triple, a text's first word by pairs."""
+    train = [[*words(t), 0] for held, t in rows if not held]
+    unigrams = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip([1, *t], t, strict=False))
+    triples = Counter(p for t in train for p in zip([1, *t], t, t[1:], strict=False))
+    n, v = sum(unigrams.values()), len(unigrams)
+
+    def score(text):
+        total, t = 0.0, [1, *words(text), 0]
+        for i in range(1, len(t)):
+            p = (unigrams[t[i]] + 1) / (n + v + 1)
+            context = len(train) if t[i - 1] == 1 else unigrams[t[i - 1]]
+            p = share * p + (1 - share) * pairs[t[i - 1], t[i]] / context if context else p
+            if i > 1:
+                p = (triples[t[i - 2], t[i - 1], t[i]] + strength * p) / (pairs[t[i - 2], t[i - 1]] + strength)
+            total += math.log10(p)
+        return total
+
+    return [score(t) for _, t in rows]
+
+
+def test_language_model_of_triples(spark, edge_rows, prose, monkeypatch):
+    """Against brute force, with and without common pairs and triples, over more than one mapper, grids of two sizes, cells in
+    one shard and in several."""
+    rows = [r[1] for r in edge_rows] + [f"{prose(30, i)} say this very sentence of us {prose(20, i % 150)}" for i in range(200)]
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    want = triple_scores([(i % 4 == 1, t) for i, t in enumerate(rows)])
+    for least, cell, shard in ((8, ngram_lm.CELL, ngram_lm.ROWS), (1 << 40, ngram_lm.CELL, 300), (8, 1000, 300)):
+        monkeypatch.setattr(ngram_lm, "LEAST", least)
+        monkeypatch.setattr(ngram_lm, "ROWS", shard)
+        monkeypatch.setattr(ngram_lm, "CELL", cell)
+        pairs, triples = ngram_lm._common_grams(documents, len(rows), 3)
+        assert (len(triples) >= 4 and len(pairs) > len(triples)) == (least == 8)
+        got = ngram_lm.score_documents(documents, F.col("doc_id") % 4 == 1, order=3).collect()
+        assert len(got) == len(rows)
+        assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-4) for r in got)
+    assert all(r.score == pytest.approx(0) for r in ngram_lm.score_documents(documents, F.lit(True), order=3).collect())
+    with pytest.raises(ValueError):
+        ngram_lm.score_documents(documents, F.lit(True), order=4)
+
+
+def test_query_scores_triples(spark):
+    """The query's own model is of order 3."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in queries()["op1_ngram_lm"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = triple_scores([(got[r.doc_id].held_out, r.text) for r in rows])
+    assert all(math.isclose(got[r.doc_id].score, s, rel_tol=1e-3) for r, s in zip(rows, want, strict=True))
+
+
 def test_language(edges, edge_rows, nothing):
     profiles = langid.learn(edges, F.lit(True))
     got = langid.identify(edges, profiles).collect()
