@@ -69,3 +69,35 @@ def test_steps_with_large_and_failed_rows(spark, monkeypatch):
     assert len(got) == 6 + 210_000 + 1
     large = got[got.image_id == 1][["r", "g", "b", "a"]].to_numpy().reshape(700, 300, 4)
     assert np.array_equal(large, np.arange(840_000, dtype=np.uint32).astype(np.uint8).reshape(700, 300, 4)[:, ::-1])
+
+
+@pytest.mark.parametrize("shape", [(12, 20), (1, 1), (33, 17)])
+def test_many_jpeg_files_are_written_as_each(shape):
+    """Noise and flat pictures; the recipe that strips metadata writes files of one size together."""
+    noise = np.random.default_rng(4).integers(0, 256, (30, *shape, 4), dtype=np.uint8)
+    for given in (noise, np.broadcast_to(noise[:, :1, :1], noise.shape).copy()):
+        alone = [jpeg.encode(x, 75) for x in given]
+        assert jpeg.encode_many(given, 75) == alone
+        assert images.encode_many(list(given), "jpeg", {"quality": 75}) == alone
+    assert {e.code for e in images.encode_many(list(noise), "jpeg", {"quality": 0})} == {"INVALID_OPTION"}
+
+
+def test_recipes_over_many_files_give_what_each_gives(monkeypatch):
+    def alone(content: bytes, spec: dict):
+        try:
+            return images.run_bytes(content, spec)
+        except ImageError as e:
+            return e.code, str(e)
+
+    given = kinds()
+    for spec in ({"stripMetadata": True}, {"crop": {"x": 0, "y": 0, "width": 9, "height": 8}}, {"format": {"format": "jpeg", "options": {"quality": 40}}, "background": [1, 2, 3, 255]}):
+        got = list(images.run_many(given, spec))
+        assert [(x.code, str(x)) if isinstance(x, ImageError) else x for x in got] == [alone(c, spec) for c in given]
+    calls, scans = [], jpeg._coded_many
+    monkeypatch.setattr(jpeg, "_coded_many", lambda *a: calls.append(a[2]) or scans(*a))
+    assert len(list(images.run_many([files._exif_file(10, s) for s in range(200)], {"stripMetadata": True}))) == 200
+    assert calls == [200]
+
+
+def test_pictures_to_write_are_spread(spark):
+    assert queries()["jpeg_written"](spark, SF).rdd.getNumPartitions() == 4
