@@ -9,7 +9,7 @@ from pixelframe import file_queries as files
 from pixelframe.errors import ImageError
 from pixelframe.queries import queries
 from pixelframe.sources import images
-from pixelframe.sources.codecs import jpeg, png
+from pixelframe.sources.codecs import gif, jpeg, png
 
 SF = "/root/testdata/sf0.01"
 JPEG = ["jpeg_inks", "jpeg_two_thirds", "jpeg_ycck", "jpeg_restarts", "exif_upright", "jpeg_reduced_2", "jpeg_420", "jpeg_422", "jpeg_scans", "jpeg_444", "jpeg_rgb", "jpeg_fill_and_comments", "jpeg_wave", "jpeg_missing_scan", "jpeg_grey"]
@@ -126,3 +126,23 @@ def test_many_png_files_give_what_each_gives(monkeypatch):
     monkeypatch.setattr(png, "_diagonally", lambda kinds, lines: calls.append(len(lines)) or undone(kinds, lines))
     assert len(list(images.decode_many([files._png_interlaced(k, 3) for k in range(300)]))) == 300
     assert calls == [300] * 7
+
+
+@pytest.mark.parametrize("name", ["codec_bmp", "codec_tiff", "gif_dithered", "chain_to_buffer", "pipeline_object"])
+def test_pictures_of_vectors_stay_in_one_worker(spark, name):
+    """Writing, a recipe, reading and pixels of 500 pictures or more are one Python worker a task, and are spread."""
+    df = queries()[name](spark, "/root/testdata/sf0.1")
+    assert plan(df).count("MapInArrow") == 1
+    assert df.rdd.getNumPartitions() == 4
+
+
+def test_small_pictures_are_dithered_without_a_table_of_all_colours():
+    assert gif._Places(np.zeros((2, 3), np.int64), 8).known is None
+    noise = np.random.default_rng(5).integers(0, 256, (6, 9, 4), dtype=np.uint8)
+    noise[..., 3] = 255
+    want = gif.encode(noise, 8, True)
+    before, gif.DISTANCES = gif.DISTANCES, 0
+    try:
+        assert gif.encode(noise, 8, True) == want
+    finally:
+        gif.DISTANCES = before
