@@ -10,6 +10,7 @@ from pixelframe.errors import ImageError
 from pixelframe.queries import queries
 from pixelframe.sources import images
 from pixelframe.sources.codecs import gif, jpeg, png
+from pixelframe.streaming.arrivals import run_arrivals
 
 SF = "/root/testdata/sf0.01"
 JPEG = ["jpeg_inks", "jpeg_two_thirds", "jpeg_ycck", "jpeg_restarts", "exif_upright", "jpeg_reduced_2", "jpeg_420", "jpeg_422", "jpeg_scans", "jpeg_444", "jpeg_rgb", "jpeg_fill_and_comments", "jpeg_wave", "jpeg_missing_scan", "jpeg_grey"]
@@ -146,3 +147,21 @@ def test_small_pictures_are_dithered_without_a_table_of_all_colours():
         assert gif.encode(noise, 8, True) == want
     finally:
         gif.DISTANCES = before
+
+
+def test_arrived_files_are_read_many_to_a_task(spark, tmp_path):
+    """3,000 files in one batch, looked up and read in a few tasks; the session keeps its settings and stays the active one."""
+    for folder in ("in", "out"):
+        (tmp_path / folder).mkdir()
+    for k in range(3000):
+        (tmp_path / "in" / f"{k}.png").write_bytes(files.png(2, 1, 8, 0, bytes([0, k % 256, k // 256])))
+    names = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n, None) for n in names]
+    query = run_arrivals(spark, str(tmp_path / "in"), {"flip": {"horizontal": True}}, str(tmp_path / "out/rows"), str(tmp_path / "out/log"))
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [3000]
+    assert len(list((tmp_path / "out/rows").glob("*.parquet"))) <= 3 * spark.sparkContext.defaultParallelism
+    assert [spark.conf.get(n, None) for n in names] == before
+    assert spark.getActiveSession()._jsparkSession.equals(spark._jsparkSession)
+    rows = {int(r.path.rsplit("/", 1)[1][:-4]): bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
+    assert len(rows) == 3000 and all(png.decode(c)[0, :, 0].tolist() == [k // 256, k % 256] for k, c in rows.items())
