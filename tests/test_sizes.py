@@ -28,6 +28,11 @@ def test_files_of_a_table_are_spread(spark, name):
     assert df.rdd.getNumPartitions() == 4
 
 
+@pytest.mark.parametrize("name", ["metadata_stripped", "exif_read", "tiff_refused", "error_rows", "probe_jpeg", "probe_tiff", "codec_load_failed", "sql_functions"])
+def test_other_rows_for_python_are_spread(spark, name):
+    assert queries()[name](spark, SF).rdd.getNumPartitions() == 4
+
+
 def kinds() -> list[bytes]:
     """JPEG files of several kinds in turn, with broken ones among them."""
     makes = [files._coloured([(1, 1)] * 4, [0, 1, 2, 3], 8, 8, more=files._segment(0xEE, b"Adobe\0\x64\0\0\0\0\x02")), files._coloured([(3, 1), (2, 1), (2, 1)], [0, 0, 0, 1, 1, 2, 2], 24, 8), files._coloured([(2, 2), (1, 1), (1, 1)], [0, 0, 0, 0, 1, 2], 16, 16), files._coloured([(2, 1), (1, 1), (1, 1)], [0, 0, 1, 2], 13, 8), files._coloured([(1, 1)] * 3, [0, 1, 2], 8, 8, left_out=1), files._exif_file, files._grey_file]
